@@ -6,11 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm.leakage import leaked_items
+from inkwell.llm.names import same_entities, same_pairs
+from inkwell.llm.neighbors import similar_pairs, similar_vectors
+from inkwell.llm.packing import fill_report, pack_documents
 from inkwell.llm.quality import text_measures, text_quality
 from inkwell.llm.splitting import oversized, split_oversized
 from inkwell.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = None
+    for item, key in (("chunk", "id"), ("entity", "key")):
+        near = similar_vectors(table(spark, sf_dir, item).select(key, "embedding"), key, "embedding", k=10, min_cosine=0.92)
+        pairs = similar_pairs(near).select(F.lit(item).alias("item"), "id_a", "id_b")
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
+
+
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(table(spark, sf_dir, "kb_document"), table(spark, sf_dir, "chunk"))
 
@@ -19,6 +31,22 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oversized(p3_pieces(spark, sf_dir))
 
 
+def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return same_entities(table(spark, sf_dir, "entity").select("key", "name", "aliases"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return same_pairs(p5_clusters(spark, sf_dir))
+
+
+def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "context_slot"))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_report(p6_pack(spark, sf_dir), table(spark, sf_dir, "context_slot"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
 
@@ -35,6 +63,18 @@ def p8_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_measures(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p7_found": p7_found, "p8_found": p8_found, "p8_quality": p8_quality, "p8_measures": p8_measures}
+QUERIES = {
+    "p1_found": p1_found,
+    "p3_found": p3_found,
+    "p3_pieces": p3_pieces,
+    "p5_found": p5_found,
+    "p5_clusters": p5_clusters,
+    "p6_pack": p6_pack,
+    "p6_fill": p6_fill,
+    "p7_found": p7_found,
+    "p8_found": p8_found,
+    "p8_quality": p8_quality,
+    "p8_measures": p8_measures,
+}
 
 SQL: dict[str, str] = {}
