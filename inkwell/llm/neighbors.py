@@ -183,10 +183,12 @@ def similar_vectors(table: DataFrame, id_col: str, vector_col: str, k: int = 10,
             unit = (np.round(x * 2**20) / 2**20).astype(np.float32)
             yield pd.DataFrame({"id": batch["id"][norm > 0].to_numpy(), "u": [r.tobytes() for r in unit]})
 
-    units = materialize(once.mapInPandas(normalize, "id string, u binary"), "units")
-    by_vector = Window.partitionBy("u").orderBy("id")
+    # Two hashes stand for a vector where only equality is asked for.
+    hashes = (F.xxhash64("u").alias("h1"), F.xxhash64("u", F.lit(1)).alias("h2"))
+    units = materialize(once.mapInPandas(normalize, "id string, u binary").select("id", "u", *hashes), "units")
+    by_vector = Window.partitionBy("h1", "h2").orderBy("id")
     low = units.withColumn("r", F.row_number().over(by_vector)).where(F.col("r") <= k + 1)  # pruned before the shuffle as well
-    groups = low.groupBy("u").agg(F.array_sort(F.collect_list("id")).alias("low")).withColumn("gid", F.monotonically_increasing_id())
+    groups = low.groupBy("h1", "h2").agg(F.min("u").alias("u"), F.array_sort(F.collect_list("id")).alias("low")).withColumn("gid", F.monotonically_increasing_id())
     groups = materialize(groups, "vectors")
     n = groups.count()
     depth = max(0, math.ceil(math.log2(max(1, n) / params.leaf_rows)))
@@ -250,9 +252,9 @@ def _expand(edges: DataFrame, groups: DataFrame, units: DataFrame, k: int) -> Da
     copies = groups.where(F.size("low") > 1).select("gid", F.lit(0.0).alias("d"), F.explode("low").alias("to"))
     order = Window.partitionBy("gid").orderBy("d", "to")
     offered = reached.unionByName(copies).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r")
-    several = groups.where(F.size("low") > 1).select("gid", "u")
+    several = groups.where(F.size("low") > 1).select("gid", "h1", "h2")
     single = groups.where(F.size("low") == 1).select("gid", F.col("low")[0].alias("id"))
-    listed = single.unionByName(salted_join(units, several, ["u"]).select("gid", "id"))
+    listed = single.unionByName(salted_join(units.select("id", "h1", "h2"), several, ["h1", "h2"]).select("gid", "id"))
     each = salted_join(listed, offered, ["gid"]).where(F.col("id") != F.col("to"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("d", "to"))
     return each.withColumn("rank", rank).where(F.col("rank") <= k).select("id", F.col("to").alias("other"), (1 - F.col("d") / 2).alias("cosine"), "rank")
