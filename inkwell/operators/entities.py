@@ -146,4 +146,4 @@ def greedy_dedup(mentioned: DataFrame, stored: DataFrame, threshold: float = 0.9
 
     old = stored.select(F.lit(-1).cast("bigint").alias("seq"), F.lit(None).cast("string").alias("path"), "key", "type", "embedding")
     rows = old.unionByName(mentioned.select(F.col("seq").cast("bigint"), "path", "key", "type", "embedding"))
-    return rows.groupBy(F.lit(0)).applyInPandas(fold, "seq bigint, path string, key string, resolved string, score double")
+    return rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(fold, "seq bigint, path string, key string, resolved string, score double")

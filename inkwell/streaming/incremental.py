@@ -29,10 +29,8 @@ def current(spark: SparkSession, sink: str) -> DataFrame:
 def merge_batch(batch: DataFrame, number: int, sink: str, size: int = 350, overlap: int = 60) -> None:
     """Writes the changed notes of a batch (``path``, ``title``, ``body``, ``scanned_at``). Of several deliveries of a path the last counts."""
     spark = batch.sparkSession
-    last = batch.where("path is not null").groupBy("path").agg(F.max(F.struct("scanned_at", "title", "body")).alias("r")).select("path", "r.title", "r.body").withColumn("hash", T.content_hash("body"))
-    state = current(spark, sink).select("path", F.col("hash").alias("known"))
-    # The state may hold this very batch if it is run again; what it wrote then is overwritten by the same rows.
-    earlier = state if number == 0 else _before(spark, sink, number)
+    last = batch.where("path is not null").groupBy("path").agg(F.max(F.struct("scanned_at", "title", "body")).alias("r")).select("path", "r.title", "r.body").withColumn("hash", T.content_hash(F.coalesce("body", F.lit(""))))
+    earlier = _before(spark, sink, number)  # without what this very batch wrote when it ran before
     changed = last.join(earlier, "path", "left").where(~F.col("hash").eqNullSafe(F.col("known"))).drop("known")
     cut = chunking.chunk_documents(changed, size, overlap)
     per = cut.groupBy(F.col("doc_path").alias("path")).agg(F.array_sort(F.collect_list(F.struct("id", "ordinal", "text", "breadcrumb", "word_count"))).alias("chunks"))
