@@ -256,6 +256,11 @@ def _parts(batch: pd.DataFrame, chars: int = 4_000_000):
         yield part
 
 
+def _frame(**columns: list) -> pd.DataFrame:
+    """A frame whose columns keep their kind where they are empty."""
+    return pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in columns.items()})
+
+
 def _leaks_of_block(spark, docs: DataFrame, index: Items, doc_type: str, item_type: str) -> DataFrame:
     shared = spark.sparkContext.broadcast(index)
 
@@ -264,10 +269,10 @@ def _leaks_of_block(spark, docs: DataFrame, index: Items, doc_type: str, item_ty
         for batch in batches:
             for part in _parts(batch):
                 rows = [(d, *h) for d, h in zip(part["doc"], items.hits(part["txt"].tolist())) if len(h[0])]
-                yield pd.DataFrame({
-                    "doc": [r[0] for r in rows], "at": [r[1] for r in rows], "keys": [r[2] for r in rows],
-                    "words": [r[3].astype(np.int32).tobytes() if items.possible(r[1]) else None for r in rows],
-                })
+                yield _frame(
+                    doc=[r[0] for r in rows], at=[r[1] for r in rows], keys=[r[2] for r in rows],
+                    words=[r[3].astype(np.int32).tobytes() if items.possible(r[1]) else None for r in rows],
+                )
 
     hits = materialize(docs.mapInPandas(scan, f"doc {doc_type}, at array<bigint>, keys array<bigint>, words binary"), "shingle-hits")
     # at most one row a shingle of the block, whose size is bounded
@@ -287,6 +292,6 @@ def _leaks_of_block(spark, docs: DataFrame, index: Items, doc_type: str, item_ty
                         if is_case(items.words[item], ids[max(0, a - length) : b + length], items.params):
                             docs_.append(doc), items_.append(item)
                             break
-            yield pd.DataFrame({"doc": docs_, "item": items_})
+            yield _frame(doc=docs_, item=items_)
 
     return hits.where(F.col("words").isNotNull()).mapInPandas(verify, f"doc {doc_type}, item {item_type}")

@@ -88,14 +88,14 @@ class Tree:
         return node
 
     def visits(self, z: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and leaves other than their own whose planes are all within ``reach``."""
-        row, node, own = np.arange(len(z)), np.ones(len(z), np.int64), np.ones(len(z), bool)
+        """Rows and leaves, their own among them, whose planes are all within ``reach``."""
+        row, node = np.arange(len(z)), np.ones(len(z), np.int64)
         for _ in range(self.depth):
             gap = z[row, self.dim[node]] - self.cut[node]
             near = np.abs(gap) <= reach[row]
             side = (gap > 0).astype(np.int64)
-            row, node, own = np.concatenate([row, row[near]]), np.concatenate([2 * node + side, 2 * node[near] + 1 - side[near]]), np.concatenate([own, np.zeros(near.sum(), bool)])
-        return row[~own], node[~own]
+            row, node = np.concatenate([row, row[near]]), np.concatenate([2 * node + side, 2 * node[near] + 1 - side[near]])
+        return row, node
 
 
 class Leaf:
@@ -179,6 +179,8 @@ def similar_vectors(table: DataFrame, id_col: str, vector_col: str, k: int = 10,
                 continue
             x = np.stack(batch["v"].to_numpy()).astype(np.float64)
             norm = np.sqrt((x * x).sum(1))
+            if not (norm > 0).any():
+                continue
             x = x[norm > 0] / norm[norm > 0][:, None]
             unit = (np.round(x * 2**20) / 2**20).astype(np.float32)
             yield pd.DataFrame({"id": batch["id"][norm > 0].to_numpy(), "u": [r.tobytes() for r in unit]})
@@ -224,6 +226,8 @@ def similar_vectors(table: DataFrame, id_col: str, vector_col: str, k: int = 10,
             for batch in batches:
                 x = _unit(batch["u"], dims)
                 row, leaf = shared.value.visits(x @ shared.value.matrix, np.sqrt(np.maximum(batch["reach"].to_numpy(), 0)) * factor)
+                away = leaf != batch["leaf"].to_numpy()[row]  # projections of another batch may differ in the last bit
+                row, leaf = row[away], leaf[away]
                 own = pd.DataFrame({"leaf": batch["leaf"], "gid": batch["gid"], "u": batch["u"], "reach": batch["reach"], "guest": False})
                 guests = pd.DataFrame({"leaf": leaf, "gid": batch["gid"].to_numpy()[row], "u": batch["u"].to_numpy()[row], "reach": batch["reach"].to_numpy()[row], "guest": True})
                 yield pd.concat([own, guests], ignore_index=True)

@@ -69,12 +69,13 @@ def token_sizes(documents: DataFrame, doc_id: str, text: str, params: PackParams
 
 
 def pack(tokens: np.ndarray, loss: np.ndarray, capacity: int, segments: int, loss_limit: int) -> np.ndarray:
-    """The container number of each item, by the dot-product heuristic. Items of equal demand are taken in order."""
-    n = len(tokens)
-    out = np.full(n, -1, np.int64)
+    """The container number of each item, by the dot-product heuristic; -1 for an item that no container can hold. Items of equal demand are taken in order."""
+    out = np.full(len(tokens), -1, np.int64)
+    order = np.lexsort((np.arange(len(tokens)), -loss, -tokens))
+    order = order[(tokens[order] <= capacity) & (loss[order] <= loss_limit)] if segments > 0 else order[:0]
+    n = len(order)
     if not n:
         return out
-    order = np.lexsort((np.arange(n), -loss, -tokens))
     t, l = tokens[order], loss[order]
     first = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (l[1:] != l[:-1])]))
     count = np.diff(np.append(first, n))
