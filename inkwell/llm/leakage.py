@@ -43,7 +43,7 @@ class LeakParams:
     #: least share of an item's shingles in a window that holds a case: two fifths of the words, with one of eight altered
     shingles: float = 0.12
     #: items are held in blocks of at most so many words; this bounds what is broadcast
-    block_words: int = 2_000_000
+    block_words: int = 200_000
 
 
 def fold(word: str) -> str:
