@@ -9,7 +9,7 @@ from inkwell.llm.leakage import leaked_items
 from inkwell.llm.names import same_entities, same_pairs
 from inkwell.llm.neighbors import similar_pairs, similar_vectors
 from inkwell.llm.packing import fill_report, pack_documents
-from inkwell.llm.quality import text_measures, text_quality
+from inkwell.llm.quality import COMMON, text_measures, text_quality
 from inkwell.llm.splitting import oversized, split_oversized
 from inkwell.session import table
 
@@ -77,4 +77,24 @@ QUERIES = {
     "p8_measures": p8_measures,
 }
 
-SQL: dict[str, str] = {}
+_USABLE = "len(embedding) = 64 AND list_count(embedding) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
+_WORDS = r"list_filter(regexp_split_to_array(text, '[ \t\n\x0b\f\r]+'), lambda w: w <> '')"
+_CHARS = r"nullif(length(regexp_replace(text, '[ \t\n\x0b\f\r]', '', 'g')), 0)"
+_COMMON = ", ".join(repr(w) for w in sorted({w for c in COMMON.values() for w in c.split()}))
+
+SQL = {
+    "p1_found": f"""
+WITH v AS (
+  SELECT 'chunk' AS item, id, max(embedding) AS e FROM chunk WHERE id IS NOT NULL AND {_USABLE} GROUP BY id
+  UNION ALL SELECT 'entity', key, max(embedding) FROM entity WHERE key IS NOT NULL AND {_USABLE} GROUP BY key),
+near AS (
+  SELECT a.item, a.id AS x, b.id AS y, list_cosine_similarity(a.e::DOUBLE[], b.e::DOUBLE[]) AS c FROM v a JOIN v b ON a.item = b.item AND a.id <> b.id
+  WHERE c >= 0.92 QUALIFY row_number() OVER (PARTITION BY a.item, a.id ORDER BY c DESC, b.id) <= 10)
+SELECT DISTINCT item, least(x, y) AS id_a, greatest(x, y) AS id_b FROM near""",
+    "p8_measures": rf"""
+SELECT doc_id, len(w) AS words, round({_CHARS} / nullif(len(w), 0)::DOUBLE, 6) AS mean_word_length,
+  round(length(regexp_replace(text, '[\p{{L}}\p{{N}} \t\n\x0b\f\r]', '', 'g')) / {_CHARS}::DOUBLE, 6) AS symbol_ratio,
+  round(len(list_filter(l, lambda x: regexp_matches(rtrim(x, ' '), '[.!?:;]$'))) / nullif(len(l), 0)::DOUBLE, 6) AS ended_lines,
+  round(len(list_filter(w, lambda x: list_contains([{_COMMON}], regexp_replace(lower(x), '[.,;:!?()]', '', 'g')))) / nullif(len(w), 0)::DOUBLE, 6) AS common_words
+FROM (SELECT doc_id, text, {_WORDS} AS w, list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '') AS l FROM documents)""",
+}
