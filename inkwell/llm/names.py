@@ -35,7 +35,7 @@ class NameParams:
     bare_cosine: float = 0.6
     #: least average similarity of two clusters that are merged
     linkage: float = 0.5
-    #: components of more entities are first cut at ever higher similarities
+    #: components of more entities are first merged in rounds over all tasks
     component: int = 2000
 
 
@@ -207,30 +207,45 @@ def name_pairs(names: DataFrame, params: NameParams = NameParams()) -> DataFrame
     return both.select(F.least("name_a", "name_b").alias("a"), F.greatest("name_a", "name_b").alias("b"), "cosine")
 
 
-def average_linkage(nodes: list, edges: list[tuple], threshold: float) -> dict:
-    """Clusters of a component: repeatedly merges the two with the highest average similarity, missing pairs counting 0; ties by the smaller names."""
+#: similarities are summed as whole numbers of 1/UNIT, so that equal averages are equal in whatever order they were added up
+UNIT = 1_000_000
+
+
+def average_linkage(nodes: list, edges: list[tuple], threshold: float, sizes: dict | None = None) -> dict:
+    """Clusters of a component: repeatedly merges the two with the highest average similarity, missing pairs counting 0.
+
+    Ties go by a checksum of the two names, an order that ``_in_rounds`` shares. Nodes may be clusters: of ``sizes`` members, edges with summed similarities.
+    """
     import heapq
+    import zlib
 
     members = {n: [n] for n in nodes}
+    size = {n: sizes[n] if sizes else 1 for n in nodes}
     sums: dict = {n: {} for n in nodes}
     for a, b, s in edges:
-        sums[a][b] = sums[b][a] = s
-    heap = [(-s, a, b) if a < b else (-s, b, a) for a in sums for b, s in sums[a].items() if a < b]
+        sums[a][b] = sums[b][a] = round(s * UNIT)
+
+    def entry(a, b):
+        a, b = min(a, b), max(a, b)
+        return -(sums[a][b] / (size[a] * size[b])), zlib.crc32(f"{a}\0{b}".encode()), a, b
+
+    heap = [entry(a, b) for a in sums for b in sums[a] if a < b]
     heapq.heapify(heap)
     while heap:
-        s, a, b = heapq.heappop(heap)
-        if -s < threshold:
+        s, _, a, b = heapq.heappop(heap)
+        if -s < threshold * UNIT:
             break
-        if a not in members or b not in members or abs(sums[a].get(b, 0.0) / (len(members[a]) * len(members[b])) + s) > 1e-12:
+        if a not in members or b not in members or b not in sums[a] or sums[a][b] / (size[a] * size[b]) != -s:
             continue  # merged since
         for c, t in sums.pop(b).items():
             if c != a:
-                sums[a][c] = sums[c][a] = sums[a].get(c, 0.0) + t
+                sums[a][c] = sums[c][a] = sums[a].get(c, 0) + t
                 del sums[c][b]
         del sums[a][b]
         members[a] += members.pop(b)
-        for c, t in sums[a].items():
-            heapq.heappush(heap, (-t / (len(members[a]) * len(members[c])), min(a, c), max(a, c)))
+        size[a] += size.pop(b)
+        for c in sums[a]:
+            heapq.heappush(heap, entry(a, c))
     return {n: root for root, group in members.items() for n in group}
 
 
@@ -278,34 +293,69 @@ def same_entities(entities: DataFrame, key: str = "key", name: str = "name", ali
 
 
 def _clusters(edges: DataFrame, params: NameParams) -> DataFrame:
-    """Average linkage inside the components of the edges that reach the threshold. Components over the bound are cut at higher thresholds."""
-    out, left, cut = None, edges, params.linkage
-    while True:
-        found = components(left.where(F.col("s") >= cut))
-        sizes = found.groupBy("component").agg(F.count("*").alias("size"))
-        label = materialize(found.join(sizes, "component"), "components")
-        of = lambda side: label.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"), "size")
-        inside = left.join(of("a"), "a").join(of("b").drop("size"), "b").where("ca = cb")
-        small = inside.where((F.col("size") <= params.component) | F.lit(cut >= 0.99))
-
-        def link(frame: pd.DataFrame) -> pd.DataFrame:
-            nodes = sorted({*frame["a"], *frame["b"]})
-            groups = average_linkage(nodes, list(zip(frame["a"], frame["b"], frame["s"])), params.linkage)
-            return pd.DataFrame({"key": list(groups), "cluster": list(groups.values())})
-
-        tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as given, else small components all end up in one task
-        part = small.repartition(tasks, "ca").groupBy("ca").applyInPandas(link, "key string, cluster string")
-        out = part if out is None else out.unionByName(part)
-        if cut >= 0.99:
-            break
-        rest = materialize(inside.where(F.col("size") > params.component).select("a", "b", "s"), "large-components")
-        if not rest.limit(1).count():
-            break
-        left, cut = rest, cut + 0.1
+    """Average linkage inside the components of the edges that reach the threshold, by one task a component; components over the bound are first merged in rounds."""
+    edges = edges.select("a", "b", F.round(F.col("s") * UNIT).cast("bigint").alias("t"), F.lit(1).cast("bigint").alias("na"), F.lit(1).cast("bigint").alias("nb"))
+    found = components(edges.where(F.col("t") >= params.linkage * UNIT))
+    sizes = found.groupBy("component").agg(F.count("*").alias("size"))
+    label = materialize(found.join(sizes, "component"), "components")
+    of = lambda side: label.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"), "size")
+    inside = edges.join(of("a"), "a").join(of("b").drop("size"), "b").where("ca = cb").drop("cb")
+
+    def link(frame: pd.DataFrame) -> pd.DataFrame:
+        a, b, t = (frame[c].tolist() for c in ("a", "b", "t"))
+        members = dict(zip(a, frame["na"].tolist())) | dict(zip(b, frame["nb"].tolist()))
+        groups = average_linkage(sorted(members), [(x, y, s / UNIT) for x, y, s in zip(a, b, t)], params.linkage, members)
+        return pd.DataFrame({"key": list(groups), "cluster": list(groups.values())})
+
+    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as given, else small components all end up in one task
+    linked = lambda part: part.repartition(tasks, "ca").groupBy("ca").applyInPandas(link, "key string, cluster string")
+    out = linked(inside.where(F.col("size") <= params.component).drop("size"))
+    if label.where(F.col("size") > params.component).limit(1).count():
+        large = label.where(F.col("size") > params.component).select("node", F.col("node").alias("cluster"))
+        merged, rest = _in_rounds(materialize(inside.where(F.col("size") > params.component).drop("size"), "large-components"), large, params)
+        for part in rest:
+            ends = linked(part).select(F.col("key").alias("cluster"), F.col("cluster").alias("end"))
+            merged = materialize(merged.join(ends, "cluster", "left").select("node", F.coalesce("end", "cluster").alias("cluster")), "merged")
+        out = out.unionByName(merged.select(F.col("node").alias("key"), "cluster"))
     many = Window.partitionBy("cluster")
     return out.withColumn("n", F.count("*").over(many)).where("n > 1").withColumn("cluster", F.min("key").over(many)).select("key", "cluster")
 
 
+def _in_rounds(edges: DataFrame, merged: DataFrame, params: NameParams) -> tuple[DataFrame, list[DataFrame]]:
+    """Merges clusters that are each other's best, all such pairs at once, until at most ``params.component`` clusters of a component can still merge.
+
+    The result is that of ``average_linkage``: a merged cluster is never closer to a third than the closer of its halves was, so two that are each other's best
+    stay so until they merge, and a cluster that reaches the threshold with no other never will. Gives ``node``, ``cluster``, and the summed edges that are left.
+    """
+    left = []
+    while True:
+        average = F.col("t") / (F.col("na") * F.col("nb"))
+        ranked = edges.withColumn("rank", F.struct((-average).alias("s"), F.crc32(F.concat_ws("\0", "a", "b").cast("binary")).alias("h"), F.col("a").alias("x"), F.col("b").alias("y")))
+        ends = ranked.select(F.col("a").alias("node"), F.col("na").alias("n"), "ca", "rank").unionByName(ranked.select(F.col("b").alias("node"), F.col("nb").alias("n"), "ca", "rank"))
+        best = ends.groupBy("node").agg(F.first("n").alias("n"), F.first("ca").alias("ca"), F.min("rank").alias("rank")).where(F.col("rank.s") <= -params.linkage * UNIT)
+        pair = Window.partitionBy("rank.x", "rank.y")
+        mutual = F.count("*").over(pair) == 2
+        new, total = F.when(mutual, F.col("rank.x")).otherwise(F.col("node")), F.when(mutual, F.sum("n").over(pair)).otherwise(F.col("n"))
+        move = materialize(best.select("node", "ca", "n", new.alias("new"), total.alias("total")), "moves")
+        sizes = materialize(move.groupBy("ca").agg(F.count("*").alias("size")), "sizes")
+        small = sizes.where(F.col("size") <= params.component)
+        alive = edges.join(move.select(F.col("node").alias("a")), "a", "left_semi").join(move.select(F.col("node").alias("b")), "b", "left_semi")
+        left.append(materialize(alive.join(small, "ca", "left_semi"), "left-components"))
+        large = sizes.where(F.col("size") > params.component)
+        if not large.limit(1).count():
+            return merged, left
+        move = move.join(large, "ca", "left_semi")
+        side = lambda k: move.select(F.col("node").alias(k), F.col("new").alias(f"{k}2"), F.col("total").alias(f"n{k}2"))
+        moved = edges.join(side("a"), "a").join(side("b"), "b").where("a2 <> b2")
+        x, y = F.struct(F.col("a2").alias("k"), F.col("na2").alias("n")), F.struct(F.col("b2").alias("k"), F.col("nb2").alias("n"))
+        edges = materialize(
+            moved.select("ca", "t", F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).groupBy("x", "y").agg(F.first("ca").alias("ca"), F.sum("t").alias("t"))
+            .select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), "t", F.col("x.n").alias("na"), F.col("y.n").alias("nb"), "ca"), "large-components"
+        )
+        to = move.select(F.col("node").alias("cluster"), "new")
+        merged = materialize(merged.join(to, "cluster", "left").select("node", F.coalesce("new", "cluster").alias("cluster")), "merged")
+
+
 def same_pairs(clusters: DataFrame) -> DataFrame:
     """All unordered pairs of a cluster: ``key_a`` < ``key_b``."""
     a, b = clusters.select(F.col("key").alias("key_a"), "cluster"), clusters.select(F.col("key").alias("key_b"), "cluster")

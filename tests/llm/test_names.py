@@ -54,3 +54,20 @@ def test_entities(spark):
     got = {(r.key_a, r.key_b) for r in same_pairs(same_entities(df)).collect()}
     assert got == {("k1", "k2"), ("k1", "k3"), ("k2", "k3")}
     assert same_entities(df.limit(0)).count() == 0
+
+
+def test_large_components_lose_nothing(spark):
+    """Groups above the bound of one task give what they give below it: weak pairs, edges between parts and ties included."""
+    import random
+
+    from inkwell.llm.names import _clusters
+
+    rnd = random.Random(5)
+    rows = [(f"k{i:02d}", f"k{j:02d}", rnd.choice((0.3, 0.5625, 0.8, 0.8, 0.9, 1.0))) for i in range(60) for j in range(i + 1, 60) if rnd.random() < (0.8 if i % 6 == j % 6 else 0.08)]
+    rows += [(f"m{i:02d}", f"m{j:02d}", 0.9) for i in range(12) for j in range(i + 1, 12)] + [("m00", "z0", 0.5625), ("z0", "z1", 0.5625)]
+    edges = spark.createDataFrame(rows, "a string, b string, s double")
+    got = [{(r.key, r.cluster) for r in _clusters(edges, NameParams(component=n)).collect()} for n in (2000, 3)]
+    want = average_linkage(sorted({n for r in rows for n in r[:2]}), rows, 0.5)
+    many = {c for c in want.values() if list(want.values()).count(c) > 1}
+    assert got[0] == got[1] == {(k, c) for k, c in want.items() if c in many}
+    assert {k for k, c in want.items() if c == want["z1"]} == {"z0", "z1"}
