@@ -87,7 +87,7 @@ class Engine:
     def _extract(self, notes: DataFrame, part: DataFrame, size: int) -> tuple[dict[str, int], list[str]]:
         s, store = self.settings, self.store
         prompts = providers.extraction_prompts(notes, size)
-        raw = materialize(providers.extracted(prompts.repartition(max(1, s.llm_concurrency)), self.extractor), "replies")
+        raw = materialize(entities.checked_replies(providers.extracted(prompts.repartition(max(1, s.llm_concurrency)), self.extractor)), "replies")
         errors = raw.where(F.col("error").isNotNull()).groupBy("path").agg(F.min("error").alias("error")).orderBy("path").collect()
         ok = part.join(raw.where(F.col("error").isNotNull()).select("path").distinct(), "path", "left_anti")
         replies = entities.parsed_replies(raw.join(ok, "path", "left_semi"))

@@ -17,6 +17,14 @@ def parsed_replies(raw: DataFrame) -> DataFrame:
     return raw.select("path", "window", T.lenient_json("raw", schemas.EXTRACTED, "entities").alias("reply"))
 
 
+def checked_replies(raw: DataFrame) -> DataFrame:
+    """``raw`` with an ``error`` also where a reply cannot be parsed, so that its document counts as failed. A JSON object without entities is no error."""
+    reply, found = T.lenient_json("raw", schemas.EXTRACTED, "entities"), F.regexp_extract("raw", r"(?s)\{.*\}", 0)
+    empty = F.get_json_object(found, "$").isNotNull() & F.get_json_object(found, "$.entities").isNull()
+    usable = reply.isNotNull() | F.coalesce(empty, F.lit(False))
+    return raw.withColumn("error", F.coalesce("error", F.when(~usable, F.lit("reply cannot be parsed: cut off, or no JSON object"))))
+
+
 def document_entities(replies: DataFrame, cap: int = 20) -> DataFrame:
     """Entities of a document over all its windows: ``path``, ``key``, ``name``, ``type``, ``count``, ``aliases``, ``first``.
 

@@ -134,7 +134,10 @@ class HttpExtractor:
 
     def extract(self, prompt: str) -> str:
         payload = {"model": self.model, "temperature": 0, "max_tokens": self.max_tokens, "messages": [{"role": "user", "content": prompt}]}
-        return _post(f"{self.url.rstrip('/')}/chat/completions", self.key, payload, self.timeout)["choices"][0]["message"]["content"]
+        choice = _post(f"{self.url.rstrip('/')}/chat/completions", self.key, payload, self.timeout)["choices"][0]
+        if choice.get("finish_reason") == "length":
+            raise ValueError(f"reply cut off at {self.max_tokens} tokens")
+        return choice["message"]["content"]
 
 
 def extraction_prompts(documents: DataFrame, size: int = 1500) -> DataFrame:

@@ -90,3 +90,37 @@ def test_stream_keeps_chunks_current(spark, tmp_path):
     run()
     assert {r.path: [c.text for c in r.chunks] for r in current(spark, sink).collect()} == {"a": ["two"], "b": ["three"]}
     assert spark.read.parquet(sink).where("batch = 1").count() == 1
+
+
+def test_unusable_replies_are_failures(spark, tmp_path):
+    """A window without usable JSON keeps the document's old mentions and its mark, and the document is tried again."""
+    import json
+
+    class Scripted:
+        def __init__(self, second):
+            self.second = second
+
+        def extract(self, prompt):
+            good = json.dumps({"entities": [{"name": "Red Fox", "type": "concept", "aliases": []}], "relations": []})
+            return self.second if "omega" in prompt else good
+
+    (tmp_path / "vault").mkdir()
+    (tmp_path / "vault/n.md").write_text("alpha beta gamma omega psi chi")
+    settings = Settings(corpus=str(tmp_path / "vault"), store=f"file://{tmp_path}/store")
+    run = lambda reply: Engine(spark, settings, extractor=Scripted(reply)).sync_semantic(force=True, extract_words=3)
+    Engine(spark, settings).sync_structural()
+    for bad in ('{"entities": [{"name": "Blue Bird"}, {"na', "Nothing here.", None):
+        report = run(bad)
+        assert report.counts["failed"] == 1 and report.counts["documents"] == 0 and "n.md" in report.notes[0]
+    store = Engine(spark, settings).store
+    assert store.read("document").where("extracted_hash is not null").count() == 0
+    assert run('{"entities": [], "relations": []}').counts["documents"] == 1 and store.read("mentions").count() == 1
+    run("Nothing here.")
+    assert store.read("mentions").count() == 1
+
+
+def test_cut_off_reply_is_an_error(monkeypatch):
+    reply = {"choices": [{"finish_reason": "length", "message": {"content": '{"entities": []}'}}]}
+    monkeypatch.setattr(providers, "_post", lambda *a, **k: reply)
+    with pytest.raises(ValueError, match="cut off"):
+        providers.HttpExtractor("http://x", "m").extract("p")

@@ -64,3 +64,13 @@ def test_extraction_windows(spark):
     df = spark.createDataFrame([("p", "T", "a  b"), ("q", None, " "), ("r", "R", "w " * 7)], "path string, title string, body string")
     rows = {(r.path, r.window): r.prompt for r in extraction_prompts(df, 3).collect()}
     assert set(rows) == {("p", 0), ("r", 0), ("r", 1), ("r", 2)} and rows["p", 0].endswith("a  b")
+
+
+def test_checked_replies(spark):
+    from inkwell.operators.entities import checked_replies
+
+    ok = ['{"entities": []}', "{}", '{"entities": null, "relations": []}', 'so:\n```json\n{"entities": [{"name": "x"}]}\n```']
+    bad = ['{"entities": [{"name": "x"}, {"na', '{"entities": [{"name": "x"}], "relations": [{"source": "x"}, {"sou', '{"entities": "x"}', "none found", "", None]
+    rows = [("p", n, raw, None) for n, raw in enumerate(ok + bad)] + [("p", 99, None, "down")]
+    got = {r.window: r.error for r in checked_replies(spark.createDataFrame(rows, "path string, window int, raw string, error string")).collect()}
+    assert [n for n in range(len(ok + bad)) if got[n] is None] == list(range(len(ok))) and got[99] == "down"
