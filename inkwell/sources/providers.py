@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from inkwell import schemas
 from inkwell.functions import text as T
 
 
@@ -22,6 +23,10 @@ class EmbeddingError(RuntimeError):
     """A model's reply that cannot be used."""
 
 
+class Refused(EmbeddingError):
+    """A request that the endpoint finds malformed."""
+
+
 class Embedder(Protocol):
     dims: int
 
@@ -56,6 +61,8 @@ def _post(url: str, key: str, payload: dict, timeout: float, tries: int = 3) ->
             with urllib.request.urlopen(request, timeout=timeout) as reply:
                 return json.load(reply)
         except (urllib.error.URLError, TimeoutError) as why:
+            if getattr(why, "code", None) == 400:  # the same request would be refused again
+                raise Refused(f"{url} refused: {why.read().decode('utf-8', 'replace')[:500]}") from why
             if n == tries:
                 raise EmbeddingError(f"no reply from {url}: {why}") from why
             time.sleep(2 * n)
@@ -122,9 +129,46 @@ class CapitalsExtractor:
         })
 
 
+INSTRUCTIONS = f"""\
+You extract a knowledge graph from personal technical notes.
+
+Return ONLY a JSON object, no prose and no markdown fence, of the shape:
+{{
+  "entities": [{{"name": "...", "type": "{"|".join(schemas.ENTITY_TYPES)}", "aliases": ["..."]}}],
+  "relations": [{{"source": "...", "target": "...", "type": "<one of the allowed types>", "confidence": 0.0-1.0}}]
+}}
+
+Rules:
+- Extract at most 12 entities: the ones this note is genuinely ABOUT, that someone would search for by name. Fewer is better than more.
+- Do NOT extract generic technology nouns (OS, VM, API, database, server, container, model) unless the note is specifically about that thing.
+- Do NOT extract the knowledge base, the note itself, or note-taking tools.
+- Use the most canonical name you can (e.g. "Neo4j", not "the neo4j database").
+- `source` and `target` in relations MUST exactly match a `name` in entities.
+- `type` MUST be exactly one of: {", ".join(schemas.RELATION_TYPES)}.
+- Prefer a specific relation type over "related_to".
+- confidence reflects how explicitly the note states the relation.
+- If the note contains nothing worth extracting, return empty lists."""
+
+
+def _object(required: list[str], **properties: dict) -> dict:
+    return {"type": "object", "properties": properties, "required": required}
+
+
+_TEXT = {"type": "string"}
+REPLY_SCHEMA = _object(
+    ["entities", "relations"],
+    entities={"type": "array", "items": _object(["name", "type"], name=_TEXT, type={**_TEXT, "enum": list(schemas.ENTITY_TYPES)}, aliases={"type": "array", "items": _TEXT})},
+    relations={"type": "array", "items": _object(["source", "target", "type"], source=_TEXT, target=_TEXT, type={**_TEXT, "enum": list(schemas.RELATION_TYPES)}, confidence={"type": "number"})},
+)
+#: Ways to ask for JSON, the strictest first; endpoints differ in what they accept.
+FORMATS = ({"type": "json_schema", "json_schema": {"name": "kg_extraction", "strict": True, "schema": REPLY_SCHEMA}}, {"type": "json_object"}, None)
+#: The first of FORMATS that an endpoint and model did not refuse, kept for the life of a process.
+_accepted: dict[tuple[str, str], int] = {}
+
+
 @dataclass(frozen=True)
 class HttpExtractor:
-    """An endpoint of the common ``/chat/completions`` form, asked at temperature 0."""
+    """An endpoint of the common ``/chat/completions`` form, asked at temperature 0 with the extraction instructions and the strictest format it accepts."""
 
     url: str
     model: str
@@ -133,11 +177,21 @@ class HttpExtractor:
     timeout: float = 900.0
 
     def extract(self, prompt: str) -> str:
-        payload = {"model": self.model, "temperature": 0, "max_tokens": self.max_tokens, "messages": [{"role": "user", "content": prompt}]}
-        choice = _post(f"{self.url.rstrip('/')}/chat/completions", self.key, payload, self.timeout)["choices"][0]
-        if choice.get("finish_reason") == "length":
-            raise ValueError(f"reply cut off at {self.max_tokens} tokens")
-        return choice["message"]["content"]
+        messages = [{"role": "system", "content": INSTRUCTIONS}, {"role": "user", "content": prompt}]
+        payload = {"model": self.model, "temperature": 0, "max_tokens": self.max_tokens, "messages": messages}
+        for n in range(_accepted.get((self.url, self.model), 0), len(FORMATS)):
+            asked = payload | ({"response_format": FORMATS[n]} if FORMATS[n] else {})
+            try:
+                choice = _post(f"{self.url.rstrip('/')}/chat/completions", self.key, asked, self.timeout)["choices"][0]
+            except Refused as why:
+                if n + 1 == len(FORMATS) or re.search("context (size|length)", str(why), re.I):  # another format would not help
+                    raise
+                continue
+            _accepted[self.url, self.model] = n
+            if choice.get("finish_reason") == "length":
+                raise ValueError(f"reply cut off at {self.max_tokens} tokens")
+            return choice["message"]["content"]
+        raise AssertionError
 
 
 def extraction_prompts(documents: DataFrame, size: int = 1500) -> DataFrame:

@@ -124,3 +124,50 @@ def test_cut_off_reply_is_an_error(monkeypatch):
     monkeypatch.setattr(providers, "_post", lambda *a, **k: reply)
     with pytest.raises(ValueError, match="cut off"):
         providers.HttpExtractor("http://x", "m").extract("p")
+
+
+def test_extractor_gives_instructions_and_negotiates(monkeypatch):
+    asked = []
+
+    def endpoint(url, key, payload, timeout):
+        asked.append(payload)
+        if payload.get("response_format", {}).get("type") == "json_schema":
+            raise providers.Refused("no json_schema")
+        return {"choices": [{"finish_reason": "stop", "message": {"content": "{}"}}]}
+
+    monkeypatch.setattr(providers, "_post", endpoint)
+    extractor = providers.HttpExtractor("http://negotiates", "m")
+    assert extractor.extract("note") == extractor.extract("note") == "{}"
+    assert [p["response_format"]["type"] for p in asked] == ["json_schema", "json_object", "json_object"]
+    system, user = asked[0]["messages"]
+    assert system["role"] == "system" and "entities" in system["content"] and "contradicts" in system["content"] and user["content"] == "note"
+
+    def full(*_):
+        raise providers.Refused("Context size has been exceeded")
+
+    monkeypatch.setattr(providers, "_post", full)
+    with pytest.raises(providers.Refused):
+        providers.HttpExtractor("http://full", "m").extract("note")
+
+
+def test_bad_request_is_not_repeated():
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    calls = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            calls.append(self.rfile.read(int(self.headers["Content-Length"])))
+            self.send_response(400), self.end_headers()
+            self.wfile.write(b"unknown response_format")
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    with pytest.raises(providers.Refused, match="unknown response_format"):
+        providers.HttpExtractor(f"http://127.0.0.1:{server.server_port}", "m", timeout=10).extract("note")
+    server.shutdown()
+    assert len(calls) == len(providers.FORMATS)
