@@ -180,12 +180,16 @@ def chained(runs: list[tuple[int, int, int, int, int]], stretch: float) -> int:
     """Most words in runs that follow each other on both sides within ``stretch`` words of the document."""
     runs, best = sorted(runs, key=lambda r: r[2]), []
     for k, (i0, _, j0, j1, words) in enumerate(runs):
-        top = (words, j0)
-        for (p0, p1, _, _, _), (sum_, start) in zip(runs[:k], best):
-            if p0 < i0 and p1 <= i0 + 2 and j1 - start <= stretch and sum_ + words > top[0]:
-                top = (sum_ + words, start)
-        best.append(top)
-    return max((b[0] for b in best), default=0)
+        chains = [(j0, words)]
+        for (p0, p1, _, _, _), before in zip(runs[:k], best):
+            if p0 < i0 and p1 <= i0 + 2:
+                chains += [(start, sum_ + words) for start, sum_ in before if j1 - start <= stretch]
+        kept: list[tuple[int, int]] = []  # a chain that starts further back counts only if it has more words
+        for start, sum_ in sorted(chains, reverse=True):
+            if not kept or sum_ > kept[-1][1]:
+                kept.append((start, sum_))
+        best.append(kept)
+    return max((chains[-1][1] for chains in best), default=0)
 
 
 def is_case(item: np.ndarray, doc: np.ndarray, params: LeakParams) -> bool:

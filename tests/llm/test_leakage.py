@@ -48,3 +48,23 @@ def test_cases(spark):
     small = sorted(map(tuple, leaked_items(d, i, LeakParams(block_words=50)).collect()))
     assert small == got
     assert leaked_items(d.limit(0), i).count() == 0 and leaked_items(d, i.limit(0)).count() == 0
+
+
+def test_chain_is_the_best_of_all_starts():
+    from itertools import combinations
+
+    from inkwell.llm.leakage import chained
+
+    assert chained([(0, 12, 0, 12, 12), (20, 42, 370, 392, 22), (50, 72, 400, 422, 22)], 400) == 44
+
+    def brute(runs, stretch):
+        fits = lambda c: all(p[0] < q[0] and p[1] <= q[0] + 2 for p, q in zip(c, c[1:])) and all(q[3] - c[0][2] <= stretch for q in c[1:])
+        return max(sum(r[4] for r in c) for n in range(1, len(runs) + 1) for c in combinations(sorted(runs, key=lambda r: r[2]), n) if fits(c))
+
+    rnd = random.Random(3)
+    for _ in range(300):
+        runs = []
+        for _ in range(7):
+            i, j, n = rnd.randrange(90), rnd.randrange(300), rnd.randrange(5, 25)
+            runs.append((i, i + n, j, j + n, n))
+        assert chained(runs, 120) == brute(runs, 120)
