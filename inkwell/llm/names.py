@@ -11,6 +11,8 @@ import re
 import unicodedata
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import permutations
+from math import prod
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -132,6 +134,25 @@ def likeness(a: str, b: str) -> float:
     return 0.0
 
 
+def _agreement(a: tuple[str, ...], b: tuple[str, ...]) -> float:
+    """Similarity of names without a long word in common: the product over their words, each matched with one of the other name in whatever order.
+
+    All words must agree and one of three or more letters must be equal; a word alone is too little, unless it is the same.
+    """
+    if sorted(a) == sorted(b):
+        return 1.0
+    equal = [w for w in a if w in b and len(w) >= 3]
+    if len(a) != len(b) or not equal:
+        return 0.0
+    rest_a, rest_b = list(a), list(b)
+    for w in sorted({*a} & {*b}):
+        for _ in range(min(a.count(w), b.count(w))):
+            rest_a.remove(w), rest_b.remove(w)
+    if len(rest_a) > 4:  # too many for every order to be tried; so many words that differ agree in nothing
+        return 0.0
+    return max(prod(likeness(x, y) for x, y in zip(rest_a, order)) for order in permutations(rest_b))
+
+
 def similarity(name_a: str, name_b: str, telling: bool = True) -> float:
     """Similarity of two names by their words: that of the longest word in common, times that of the first other word of each.
 
@@ -157,7 +178,7 @@ def similarity(name_a: str, name_b: str, telling: bool = True) -> float:
             if sim and not (p in SHORT_FORMS or q in SHORT_FORMS) and (sim * min(len(p), 8), sim) > best[:2]:
                 best = (sim * min(len(p), 8), sim, x, y)
     if not best[1]:
-        return 0.0
+        return _agreement(a, b)
     rest_a, rest_b = [w for w in a if w not in best[2]], [w for w in b if w not in best[3]]
     root = best[1]
     if not rest_a or not rest_b:
@@ -268,7 +289,8 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
 def same_entities(entities: DataFrame, key: str = "key", name: str = "name", aliases: str = "aliases", params: NameParams = NameParams()) -> DataFrame:
     """Clusters of entities with variant names: ``key``, ``cluster`` (its least key); only clusters of two or more.
 
-    Two entities are as similar as the closest of their names and aliases, but not at all where their names say that they are different.
+    Two entities are as similar as the closest of their names and aliases, but not at all where their names say that they are different,
+    unless a name or alias of one has the same words as the name of the other.
 
     Defined cases: rows with a null key take no part; a null or blank name has only its aliases; repeated rows count once, and the names of rows that
     share a key are names of one entity; null aliases are none; names without any letters match nothing; no rows give no clusters.
@@ -287,8 +309,9 @@ def same_entities(entities: DataFrame, key: str = "key", name: str = "name", ali
     of = lambda side, k: owned.select(F.col("name").alias(side), F.col("key").alias(k), F.col("main").alias(f"main_{side}"))
     wide = salted_join(salted_join(of("a", "ka"), scored.unionByName(equal), ["a"]), of("b", "kb"), ["b"]).where(F.col("ka") != F.col("kb"))
     against = F.max(F.col("main_a") & F.col("main_b") & (F.col("s") <= 0))
-    pairs = wide.groupBy(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).agg(F.max("s").alias("s"), against.alias("against"))
-    edges = materialize(pairs.where(~F.col("against") & (F.col("s") > 0)).select("a", "b", "s"), "entity-pairs")
+    exact = F.max((F.col("main_a") | F.col("main_b")) & (F.col("s") >= 1))  # a name of one is the main name of the other
+    pairs = wide.groupBy(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).agg(F.max("s").alias("s"), against.alias("against"), exact.alias("exact"))
+    edges = materialize(pairs.where((~F.col("against") | F.col("exact")) & (F.col("s") > 0)).select("a", "b", "s"), "entity-pairs")
     return _clusters(edges, params)
 
 

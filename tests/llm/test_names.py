@@ -71,3 +71,20 @@ def test_large_components_lose_nothing(spark):
     many = {c for c in want.values() if list(want.values()).count(c) > 1}
     assert got[0] == got[1] == {(k, c) for k, c in want.items() if c in many}
     assert {k for k, c in want.items() if c == want["z1"]} == {"z0", "z1"}
+
+
+@pytest.mark.parametrize("a, b", [("Kai Lund", "Lund, Kai"), ("Anna Roth", "Ana Roth"), ("A. Roth", "Anna Roth"), ("Roth, Bob", "Robert Roth")])
+def test_short_words_agree(a, b):
+    assert similarity(a, b) >= 0.6 and similarity(b, a) == similarity(a, b)
+
+
+@pytest.mark.parametrize("a, b", [("Anna Roth", "Kurt Roth"), ("Kai Lund", "Kai Berg"), ("Anna Roth", "Roth"), ("Kim Lee", "Tim Lee"), ("Roth", "Rott"), ("A. B.", "B. C.")])
+def test_short_words_apart(a, b):
+    assert similarity(a, b) == 0
+
+
+def test_exact_alias_overrules_names(spark):
+    rows = [("k1", "Kai Lund", ["Nils Lund"]), ("k2", "Nils Lund", []), ("k3", "Lund, Kai", []), ("k4", "Anna Roth", ["Roth"]), ("k5", "Kurt Roth", ["Roth"])]
+    edges = same_pairs(same_entities(spark.createDataFrame(rows, "key string, name string, aliases array<string>"), params=NameParams(linkage=0.3)))
+    got = {(r.key_a, r.key_b) for r in edges.collect()}
+    assert {("k1", "k2"), ("k1", "k3")} <= got and ("k4", "k5") not in got
