@@ -106,12 +106,16 @@ def pack(tokens: np.ndarray, loss: np.ndarray, capacity: int, segments: int, los
     return out
 
 
+#: Rounds of opening containers; those of the last are kept as they are.
+ROUNDS = 20
+
+
 def pack_documents(documents: DataFrame, slots: DataFrame, params: PackParams = PackParams(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Places every text in containers of every size: ``slot_id``, ``container``, ``doc_id``, ``part``, ``first_token``, ``tokens``, ``loss_tokens``.
 
     A text above the capacity, and no other, is split: into parts that fill a container each, and a rest. Sizes are counted once for all container sizes. Items are
     packed in groups of about ``group_rows``, so no task holds more whatever the corpus; containers that stay emptier than ``well_filled`` are opened and their
-    items packed again with those of other groups, until one group is left of them or they no longer shrink.
+    items packed again with those of other groups, until one group is left of them, they no longer shrink, or ``ROUNDS`` are over.
 
     Defined cases: null, blank-only and empty texts with no tokens are left out, as are null ids; a repeated row counts once; a container size below one is left
     out; no documents or no sizes give no rows. Frontmatter bears no loss. If ``loss_share`` is below one, a part is at most as long as the loss limit.
@@ -153,7 +157,7 @@ def pack_documents(documents: DataFrame, slots: DataFrame, params: PackParams =
         })
 
     before = None
-    for round_ in range(20):
+    for round_ in range(ROUNDS):
         counts = {r.slot_id: r.n for r in rest.groupBy("slot_id").agg(F.count("*").alias("n")).collect()}
         n = max(counts.values(), default=0)
         if not n:
@@ -162,7 +166,7 @@ def pack_documents(documents: DataFrame, slots: DataFrame, params: PackParams =
         grouped = rest.withColumn("group", F.pmod(F.xxhash64("doc_id", "part", F.lit(round_)), F.lit(groups)))
         packed = grouped.repartition(max(12, len(sizes) * groups), "slot_id", "group").groupBy("slot_id", "group").applyInPandas(filler(f"r{round_}"), out_type)
         packed = materialize(packed, "packed")
-        last = groups == 1 or (before is not None and n > 0.9 * before)
+        last = groups == 1 or (before is not None and n > 0.9 * before) or round_ == ROUNDS - 1
         done = done.unionByName((packed if last else packed.where(~F.col("again"))).drop("again"))
         if last:
             break

@@ -56,3 +56,13 @@ def test_documents(spark):
     report = fill_report(pack_documents(docs, slots), slots).collect()
     assert {r.slot_id for r in report} == {1, 2} and all(r.containers >= r.fewest for r in report)
     assert pack_documents(docs.limit(0), slots).count() == 0 and pack_documents(docs, slots.limit(0)).count() == 0
+
+
+@needs_vocabulary
+def test_last_round_keeps_its_containers(spark, monkeypatch):
+    from inkwell.llm import packing
+
+    monkeypatch.setattr(packing, "ROUNDS", 1, raising=False)
+    docs = spark.createDataFrame([(i, "alpha beta gamma " * 8) for i in range(100)], "doc_id bigint, text string")
+    slots = spark.createDataFrame([(1, 64)], "slot_id int, capacity_tokens int")
+    assert pack_documents(docs, slots, PackParams(group_rows=10)).select("doc_id").distinct().count() == 100
