@@ -1,19 +1,22 @@
 """Variant spellings of names typed by people.
 
-Names become vectors of character n-grams weighted by rarity; a distributed sparse join yields the pairs whose cosine reaches a
-threshold, prefixes of the rarest n-grams being enough to find them all. Pairs are scored by aligning their words, and
-average-linkage clustering groups the entities.
+Names become vectors of character n-grams weighted by rarity. A distributed sparse join finds all pairs whose cosine reaches a threshold: a pair must
+share one of the rarest n-grams of both, so only those are joined, in blocks of bounded size. Pairs whose words contradict each other are struck
+out; which words are of no weight and which stand for each other is learned from the pairs of the whole table. Average-linkage clustering on the
+cosines groups the entities.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 import re
 import unicodedata
+import zlib
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import permutations
-from math import prod
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,36 +29,25 @@ class NameParams:
     #: characters of an n-gram
     gram: int = 4
     #: least cosine of two names
-    cosine: float = 0.2
-    #: norm of the common n-grams by which a name is not indexed
-    rest: float = 0.1
+    cosine: float = 0.35
     #: n-grams that fewer names have count as this rare, so that typos do not outweigh the rest of a name
     rare: int = 16
     #: power of the logarithm of rarity that weighs an n-gram
-    sharpness: float = 5.0
-    #: least cosine where one name has no word besides the one in common
-    bare_cosine: float = 0.6
-    #: least average similarity of two clusters that are merged
-    linkage: float = 0.5
+    sharpness: float = 3.0
+    #: least average cosine of two clusters that are merged
+    linkage: float = 0.3
+    #: names that are compared at once: n-grams of more names are joined block by block
+    block: int = 1000
     #: components of more entities are first merged in rounds over all tasks
     component: int = 2000
-
-
-# Words that tell nothing about which thing is meant.
-NOISE = frozenset("the of and project team dr mr mrs ms prof sir md txt old new gmbh gmb llc ltd plc ag inc co corp kg sa bv nv limited company".split())
-LEGAL = re.compile(r"\b(?:b\.? ?v|s\.? ?a|n\.? ?v|a\.? ?g)\b\.?", re.I)
-# Given names and the short forms people use for them.
-SHORT_FORMS = {
-    "alexander": "alex sasha xander sascha", "benjamin": "ben benji benny", "charles": "charlie chuck chas", "deborah": "deb debbie debby",
-    "dmitri": "dima mitya dimitri", "edith": "edie", "elizabeth": "liz beth betty lizzie eliza lisa betsy", "francisco": "paco pancho fran kiko cisco frank",
-    "gabriela": "gabi gaby gabby", "henrietta": "hetty etta henny hattie", "ignacio": "nacho iggy", "ingrid": "inga inge", "jonathan": "jon johnny jonny john nathan",
-    "katherine": "kate kathy katie kat kathryn kitty", "leonard": "leo len lenny", "lucia": "lucy luz luci", "margaret": "maggie meg peggy marge greta rita", "marek": "mark",
-    "nicholas": "nick nicky nico klaus", "oliver": "ollie olly", "patricia": "pat patty trish tricia patti", "robert": "bob rob bobby bert robbie", "susanne": "sue susi susie sanne",
-    "timothy": "tim timmy", "tomas": "tom tommy tomasz thomas", "ulrike": "uli ulli rike", "victoria": "vicky tori vicki vic", "wanda": "wendy", "william": "bill will billy liam willy",
-    "xenia": "xena ksenia", "yusuf": "joe yusef joseph", "zachary": "zach zack zac", "michael": "mike mick", "christopher": "chris kit", "daniel": "dan danny", "david": "dave", "edward": "ed eddie ted ned",
-    "james": "jim jimmy jamie", "jennifer": "jen jenny", "joseph": "joe joey", "matthew": "matt", "richard": "dick rick richie", "samuel": "sam sammy", "stephen": "steve", "andrew": "andy drew", "anthony": "tony",
-}
-FULL_FORMS = {short: full for full, shorts in SHORT_FORMS.items() for short in shorts.split()}
+    #: names of different things in which something must be seen before it is learned
+    support: int = 3
+    #: a word is of no weight if it is what one of two names lacks in at least this share of the cases in which it tells them apart
+    light: float = 1 / 3
+    #: two words stand for each other if that is what the rarer of them is exchanged for in at least this share of cases
+    variant: float = 0.3
+    #: what is learned is held by every task, so it must be seen in over 1/learned of all cases; that bounds each list
+    learned: int = 10_000
 
 
 def plain(name: str) -> str:
@@ -66,26 +58,18 @@ def plain(name: str) -> str:
 
 @lru_cache(200_000)
 def words(name: str) -> tuple[str, ...]:
-    """The telling words of a name, in order; what stands in brackets goes last, and is dropped where two or more words stand before it."""
-    text = plain(name)
-    text = re.sub(r"\bv\d+\b", " ", text)
-    split = lambda t: [w for w in re.findall(r"[a-z]+|[^\W\d_a-z]+", t)]
-    outer = re.sub(r"\([^)]*\)", " ", text)
-    inner = " ".join(re.findall(r"\(([^)]*)\)", text))
-    trimmed = LEGAL.sub(" ", outer)
-    if sum(len(w) > 1 for w in split(trimmed)) >= 2:
-        outer = trimmed
-    front = [w for w in split(outer) if w not in NOISE]
-    back = [w for w in split(LEGAL.sub(" ", inner)) if w not in NOISE]
-    if sum(len(w) > 1 for w in front) >= 2:
-        back = []
-    return tuple(front + back) or tuple(split(text))
+    """Runs of letters, in order."""
+    return tuple(re.findall(r"[^\W\d_]+", plain(name)))
+
+
+def word_grams(word: str, n: int = 4) -> list[str]:
+    """Character n-grams of a word with a mark at either end."""
+    marked = f"^{word}$"
+    return [marked[i : i + n] for i in range(max(1, len(marked) - n + 1))]
 
 
 def grams(name: str, n: int = 4) -> list[str]:
-    """Character n-grams of the words of a name, each word with a mark at either end."""
-    marked = (f"^{w}$" for w in words(name))
-    return sorted({w[i : i + n] for w in marked for i in range(max(1, len(w) - n + 1))})
+    return sorted({g for w in words(name) for g in word_grams(w, n)})
 
 
 @lru_cache(500_000)
@@ -113,119 +97,245 @@ def _within(short: str, full: str) -> bool:
     return all(c in rest for c in short)
 
 
-def likeness(a: str, b: str) -> float:
-    """How well two words can be forms of one: 1 equal, less for typos, initials, short forms, abbreviations; 0 else."""
+def alike(a: str, b: str) -> bool:
+    """Whether two words can be forms of one: equal, a typo or two in a long word, an initial, a beginning, an abbreviation."""
     if a == b:
-        return 1.0
+        return True
     if len(a) > len(b):
         a, b = b, a
     if len(a) == 1:
-        return 0.9 if b[0] == a else 0.0
-    if FULL_FORMS.get(a, a) == FULL_FORMS.get(b, b):
-        return 0.95
+        return b[0] == a
     d = edits(a, b)
-    if d == 1 and len(b) >= 4 or d == 2 and len(a) >= 7:
-        return 1 - d / max(8, len(b))
-    full = FULL_FORMS.get(a)
-    if full and len(b) >= 5 and edits(full, b) == 1:
-        return 0.85
-    if a[0] == b[0] and len(a) >= 2 and len(b) >= 5 and (b.startswith(a) or (len(a) <= 4 and _within(a, b))):
-        return 0.85
-    return 0.0
+    if (d == 1 and len(b) >= 4) or (d == 2 and len(a) >= 7 and a[0] == b[0]):
+        return True
+    return a[0] == b[0] and len(b) >= 5 and (b.startswith(a) or (len(a) <= 4 and _within(a, b)))
 
 
-def _agreement(a: tuple[str, ...], b: tuple[str, ...]) -> float:
-    """Similarity of names without a long word in common: the product over their words, each matched with one of the other name in whatever order.
+@lru_cache(200_000)
+def unmatched(name_a: str, name_b: str) -> tuple[tuple[str, ...], tuple[str, ...], tuple[str, ...], int, tuple[bool, bool]]:
+    """The words of each name that have no counterpart in the other, the words that are equal in both, how many pairs of words agree, and which names have initials.
 
-    All words must agree and one of three or more letters must be equal; a word alone is too little, unless it is the same.
-    """
-    if sorted(a) == sorted(b):
-        return 1.0
-    equal = [w for w in a if w in b and len(w) >= 3]
-    if len(a) != len(b) or not equal:
-        return 0.0
-    rest_a, rest_b = list(a), list(b)
-    for w in sorted({*a} & {*b}):
-        for _ in range(min(a.count(w), b.count(w))):
-            rest_a.remove(w), rest_b.remove(w)
-    if len(rest_a) > 4:  # too many for every order to be tried; so many words that differ agree in nothing
-        return 0.0
-    return max(prod(likeness(x, y) for x, y in zip(rest_a, order)) for order in permutations(rest_b))
-
-
-def similarity(name_a: str, name_b: str, telling: bool = True) -> float:
-    """Similarity of two names by their words: that of the longest word in common, times that of the first other word of each.
-
-    Words left over on both sides mean different things (members of a family, companies of a group). Left over on one side only, less
-    is known and the similarity is lower, and too low to link unless the word in common is ``telling``.
+    Equal words are matched first, then words that the other name parts in two, then those that are alike, the closest first.
     """
-    a, b = words(name_a), words(name_b)
-    if not a or not b:
-        return 0.0
-    if "".join(a) == "".join(b):
-        return 1.0
-    best = (0.0, 0.0, (), ())
-    spans = lambda w: [(w[i:j]) for i in range(len(w)) for j in range(i + 1, min(i + 2, len(w)) + 1)]
-    for x in spans(a):
-        for y in spans(b):
-            if len(x) > 1 and len(y) > 1:
-                continue
-            p, q = "".join(x), "".join(y)
-            if min(len(p), len(q)) < 5 or (len(x) + len(y) > 2 and min(map(len, x + y)) == 1):
-                continue
-            d = edits(p, q)
-            sim = 1 - d / max(8, len(p), len(q)) if d == 0 or d == 1 or (d == 2 and min(len(p), len(q)) >= 7) else 0.0
-            if sim and not (p in SHORT_FORMS or q in SHORT_FORMS) and (sim * min(len(p), 8), sim) > best[:2]:
-                best = (sim * min(len(p), 8), sim, x, y)
-    if not best[1]:
-        return _agreement(a, b)
-    rest_a, rest_b = [w for w in a if w not in best[2]], [w for w in b if w not in best[3]]
-    root = best[1]
-    if not rest_a or not rest_b:
-        return root * (1.0 if not rest_a and not rest_b else 0.8 if telling else 0.4)
-    first = max(likeness(rest_a[0], rest_b[0]), *(0.95 * (x == y and len(x) > 2) for x in rest_a for y in rest_b))
-    for own, other, whole in ((rest_a, rest_b, b), (rest_b, rest_a, a)):  # initials of the other name
-        if len(own) == 1 and 2 <= len(own[0]) <= 4 and own[0] == "".join(w[0] for w in whole)[: len(own[0])]:
-            first = max(first, 0.9)
-    joined = [("".join(rest_a), rest_b[0]), (rest_a[0], "".join(rest_b))]
-    first = max(first, *(1 - edits(x, y) / 8 if min(len(x), len(y)) >= 5 and edits(x, y) <= 1 else 0.0 for x, y in joined))
-    if first and any(len(w) > 2 and not any(likeness(w, v) for v in rest_b) for w in rest_a) and any(len(w) > 2 and not any(likeness(w, v) for v in rest_a) for w in rest_b):
-        first = 0.0
-    return root * first
+    a, b = list(words(name_a)), list(words(name_b))
+    equal = []
+    for w in words(name_a):
+        if w in b:
+            a.remove(w), b.remove(w), equal.append(w)
+    agree = len(equal)
+    for whole, parts in ((a, b), (b, a)):
+        for w in [w for w in whole if len(w) >= 5]:
+            k = next((k for k in range(len(parts) - 1) if max(len(parts[k]), len(parts[k + 1])) < len(w) and edits(w, parts[k] + parts[k + 1]) <= 1), None)
+            if k is not None:
+                whole.remove(w)
+                del parts[k : k + 2]
+                agree += 1
+    initials = [False, False]
+    close = sorted((edits(x, y) if min(len(x), len(y)) > 1 else 9, x, y) for x in {*a} for y in {*b} if alike(x, y))
+    for _, x, y in close:
+        if x in a and y in b:
+            a.remove(x), b.remove(y)
+            agree += 1
+            initials = [initials[0] or len(x) == 1 < len(y), initials[1] or len(y) == 1 < len(x)]
+    return tuple(a), tuple(b), tuple(equal), agree, tuple(initials)
 
 
-def name_pairs(names: DataFrame, params: NameParams = NameParams()) -> DataFrame:
-    """Pairs of distinct names, ``a`` < ``b``, with a cosine of at least ``params.cosine``: all of them, by prefix filtering.
+@dataclass(frozen=True)
+class Usage:
+    """What the table itself shows about words: those of no weight, and pairs that stand for each other."""
+
+    light: frozenset = frozenset()
+    variants: frozenset = frozenset()
 
-    N-grams that only one name has are left out. Weights are a power of the logarithm of rarity. A name is indexed by its rarest n-grams
-    only, up to where the others have a norm of ``params.rest``; common ones, which most names have, so meet few. What the index gives is the
-    cosine but for that rest, so pairs that could not reach the threshold even with it are dropped before the exact cosine is taken.
+
+def contradict(name_a: str, name_b: str, usage: Usage = Usage()) -> bool:
+    """Whether each of two names has a word that the other has nothing for: members of a family, companies of a group, unlike things.
+
+    Words of no weight are passed over if a whole word is equal; so are single letters beside two words that agree. An acronym stands for the words whose first
+    letters it has, an initial for no word if its name has another one that could be meant.
+    """
+    a, b, equal, agree, initials = unmatched(name_a, name_b)
+    if not agree or any(own and any(len(w) > 2 and w not in usage.light for w in side) for own, side in zip(initials, (a, b))):
+        return True
+    if any(len(w) > 2 for w in equal):
+        a, b = (tuple(w for w in side if w not in usage.light) for side in (a, b))
+    if agree > 1:
+        a, b = (tuple(w for w in side if len(w) > 1) for side in (a, b))
+    if not a or not b:
+        return False
+    for own, whole in ((a, words(name_b)), (b, words(name_a))):
+        short = own[0] if len(own) == 1 and len(own[0]) <= 4 else "".join(own) if all(len(w) == 1 for w in own) else ""
+        if len(short) > 1 and short in "".join(w[0] for w in whole):
+            return False
+    rest = list(b)
+    for w in a:
+        to = next((v for v in rest if (min(v, w), max(v, w)) in usage.variants), None)
+        if to is not None:
+            rest.remove(to)
+    return len(b) - len(rest) < min(len(a), len(b))
+
+
+def same_words(name_a: str, name_b: str, usage: Usage = Usage()) -> bool:
+    """Whether two names have the same words, those of no weight aside, in whatever order."""
+    heavy = lambda n: sorted(w for w in words(n) if w not in usage.light) or sorted(words(n))
+    return heavy(name_a) == heavy(name_b)
+
+
+def name_vectors(names: DataFrame, params: NameParams = NameParams()) -> DataFrame:
+    """``name``, its n-grams ``gs`` as 64-bit keys from the rarest to the commonest, unit weights ``ws``, ``dfs``, ``rarity``.
+
+    ``dfs`` has the number of names of each n-gram of the prefix: as many as it takes until the rest has a norm below ``params.cosine``, so no other name
+    reaches it through the rest alone. ``rarity`` is, for each of the words, the number of names that have its rarest n-gram.
     """
 
     def split(batches):
         for batch in batches:
             yield pd.DataFrame({"name": batch["name"], "gs": [grams(x, params.gram) for x in batch["name"]]})
 
-    given = materialize(names.mapInPandas(split, "name string, gs array<string>").withColumn("id", F.monotonically_increasing_id()), "grams")
-    flat = given.select("id", F.explode("gs").alias("g"))
-    counts = flat.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
-    total = given.agg(F.count("*").alias("all"))
-    weighted = salted_join(flat, counts, ["g"]).crossJoin(F.broadcast(total)).withColumn("w", F.pow(F.log(1.5 + F.col("all") / F.greatest("df", F.lit(params.rare))), params.sharpness))
-    own = Window.partitionBy("id")
-    n2 = F.sum(F.col("w") * F.col("w")).over(own)
-    before = F.sum(F.col("w") * F.col("w")).over(own.orderBy(F.col("w").desc(), "g")) - F.col("w") * F.col("w")
-    unit = weighted.withColumn("n2", n2).withColumn("before", before).select("id", "g", (F.col("w") / F.sqrt("n2")).alias("w"), ((F.col("n2") - F.col("before")) / F.col("n2")).alias("left"))
-    common = F.col("left") < params.rest**2
-    unit = materialize(unit.withColumn("rest", F.sqrt(F.coalesce(F.max(F.when(common, F.col("left"))).over(own), F.lit(0.0)))), "weights")
-    probe = unit.select("g", F.col("id").alias("a"), F.col("w").alias("wa"))
-    index = unit.where(~common).select("g", F.col("id").alias("b"), F.col("w").alias("wb"), "rest")
-    partial = probe.join(index, "g").where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"), F.max("rest").alias("rest"))
-    near = partial.where(F.col("dot") + F.col("rest") >= params.cosine - 1e-9).select("a", "b")
-    vectors = unit.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("g", "w"))).alias("v")).join(given.select("id", "name"), "id")
-    side = lambda k: vectors.select(F.col("id").alias(k), F.col("v").alias(f"v{k}"), F.col("name").alias(f"name_{k}"))
-    dot = F.aggregate(F.map_entries("va"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("vb", e["key"]), F.lit(0.0)))
-    both = near.join(side("a"), "a").join(side("b"), "b").withColumn("cosine", dot).where(F.col("cosine") >= params.cosine)
-    return both.select(F.least("name_a", "name_b").alias("a"), F.greatest("name_a", "name_b").alias("b"), "cosine")
+    given = materialize(names.mapInPandas(split, "name string, gs array<string>"), "grams")
+    total = given.count()
+    flat = given.select("name", F.explode("gs").alias("g"))
+    counts = flat.groupBy("g").agg(F.count("*").cast("int").alias("df"))
+    counted = salted_join(flat, counts, ["g"]).groupBy("name").agg(F.array_sort(F.collect_list(F.struct("df", F.xxhash64("g").alias("h"), "g"))).alias("v"))
+
+    def weigh(batches):
+        for batch in batches:
+            rows = []
+            for name, v in zip(batch["name"], batch["v"]):
+                df = np.array([x["df"] for x in v], np.int64)
+                w = np.log(1.5 + total / np.maximum(df, params.rare)) ** params.sharpness
+                w /= math.sqrt(float((w * w).sum()))
+                left = 1 - np.concatenate([[0.0], np.cumsum(w * w)[:-1]])
+                of = {x["g"]: x["df"] for x in v}
+                rarity = [min(of[g] for g in word_grams(x, params.gram)) for x in words(name)]
+                rows.append((name, [x["h"] for x in v], w.tolist(), df[left >= params.cosine**2 - 1e-6].tolist(), rarity))
+            yield pd.DataFrame(rows, columns=["name", "gs", "ws", "dfs", "rarity"])
+
+    return counted.mapInPandas(weigh, "name string, gs array<bigint>, ws array<float>, dfs array<int>, rarity array<int>")
+
+
+class _Rows:
+    """Names of a batch with their vectors, which are compared many pairs at once."""
+
+    def __init__(self, frame: pd.DataFrame, params: NameParams):
+        self.params, self.name, self.rarity = params, frame["name"].to_numpy(), frame["rarity"].to_numpy()
+        self.n, self.prefix = frame["gs"].str.len().to_numpy(), frame["dfs"].str.len().to_numpy()
+        self.at = np.cumsum(self.n) - self.n
+        self.g, self.w = np.concatenate(frame["gs"].to_numpy()), np.concatenate(frame["ws"].to_numpy()).astype(np.float64)
+
+    def padded(self, rows: np.ndarray, width: int):
+        spot = np.arange(width)
+        inside = spot < self.n[rows, None]
+        index = np.where(inside, self.at[rows, None] + spot, 0)
+        return self.g[index], np.where(inside, self.w[index], 0.0), inside, spot < self.prefix[rows, None]
+
+    def near(self, i: np.ndarray, j: np.ndarray, key: np.ndarray, cells: int = 4_000_000):
+        """Of the pairs of rows those whose cosine reaches the threshold, unless a rarer n-gram is in both prefixes, under which they are found as well."""
+        width = np.maximum(self.n[i], self.n[j])
+        size = 8
+        while len(i):  # the short ones first, so that a long name widens no other's row
+            now = width <= size
+            a, b, k, step = i[now], j[now], key[now], max(1, cells // size**2)
+            for s in range(0, len(a), step):
+                yield from self._compare(a[s : s + step], b[s : s + step], k[s : s + step], size)
+            i, j, key, width, size = i[~now], j[~now], key[~now], width[~now], 2 * size
+
+    def _compare(self, a, b, key, width):
+        (ga, wa, ina, pa), (gb, wb, inb, pb) = self.padded(a, width), self.padded(b, width)
+        p, x, y = np.nonzero((ga[:, :, None] == gb[:, None, :]) & ina[:, :, None] & inb[:, None, :])
+        cosine = np.bincount(p, wa[p, x] * wb[p, y], len(a))
+        both = pa[p, x] & pb[p, y]
+        first = np.full(len(a), width)
+        np.minimum.at(first, p[both], x[both])  # n-grams stand in the same order in all names
+        ok = (cosine >= self.params.cosine) & (first < width)
+        for q in np.flatnonzero(ok).tolist():
+            if ga[q, first[q]] == key[q]:
+                yield self._row(int(a[q]), int(b[q]), min(1.0, float(cosine[q])))
+
+    def _row(self, i: int, j: int, cosine: float) -> tuple:
+        if self.name[i] > self.name[j]:
+            i, j = j, i
+        a, b = self.name[i], self.name[j]
+        left_a, left_b, equal, _, _ = unmatched(a, b)
+        rare = {**dict(zip(words(b), self.rarity[j])), **dict(zip(words(a), self.rarity[i]))}
+        root = min(equal, key=lambda w: (rare[w], w), default=None)
+        if root is not None and any(rare[w] < rare[root] for w in left_a + left_b):
+            root = None  # the words in common are not what tells what is meant
+        return a, b, cosine, root, list(left_a), list(left_b)
+
+
+def whole_runs(batches, keys: list[str]):
+    """Batches of rows sorted by ``keys``, cut anew so that none of them parts rows with equal keys."""
+    held = None
+    for batch in batches:
+        frame = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        if not len(frame):
+            continue
+        tail = frame.iloc[-1]
+        last = np.logical_and.reduce([frame[c].to_numpy() == tail[c] for c in keys])  # may go on in the next batch
+        held, frame = frame[last], frame[~last]
+        if len(frame):
+            yield frame
+    if held is not None and len(held):
+        yield held
+
+
+PAIRS = "a string, b string, cosine double, root string, left_a array<string>, left_b array<string>"
+
+
+def name_pairs(names: DataFrame, params: NameParams = NameParams()) -> DataFrame:
+    """All pairs of distinct names, ``a`` < ``b``, with a ``cosine`` of at least ``params.cosine``; with the words in which they differ and the rarest they share.
+
+    Prefix filtering is exact: of a pair that reaches the threshold both prefixes share an n-gram. Each name goes, with its vector, to every n-gram of its
+    prefix; one that more than ``params.block`` names have is joined block by block, so no task holds more than two blocks of it. A pair is given
+    once, under the rarest n-gram that both prefixes share.
+    """
+    posted = name_vectors(names, params).withColumn("p", F.explode(F.arrays_zip("gs", "dfs"))).where("p.dfs > 1")
+    blocks = F.ceil(F.col("p.dfs") / params.block).cast("int")
+    placed = posted.withColumn("mine", F.pmod(F.xxhash64("name"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    tile = ["key", "lo", "hi"]
+    tiles = placed.select(F.col("p.gs").alias("key"), F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "name", "gs", "ws", "dfs", "rarity")
+
+    def compared(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.reset_index(drop=True)
+        key, lo, hi, mine = (frame[c].to_numpy() for c in (*tile, "mine"))
+        n = np.arange(len(key))
+        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
+        ends = np.append(starts[1:], len(key))
+        after = np.repeat(ends, ends - starts) - n - 1
+        i = np.repeat(n, after)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
+        own = (lo[i] == hi[i]) | (mine[i] != mine[j])  # pairs within a block belong to the tile of that block alone
+        i, j = i[own], j[own]
+        return pd.DataFrame(list(_Rows(frame, params).near(i, j, key[i])), columns=[c.split()[0] for c in PAIRS.split(", ")]).astype({"cosine": float})
+
+    def search(batches):
+        for frame in whole_runs(batches, tile):
+            yield compared(frame)
+
+    tasks = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tiles.repartition(tasks, *tile).sortWithinPartitions(*tile).mapInPandas(search, PAIRS)
+
+
+def word_usage(pairs: DataFrame, params: NameParams = NameParams()) -> Usage:
+    """What pairs of names with a telling word in common show about the other words, counted once for each telling word, over all pairs.
+
+    A word that one name of a pair has and the other just lacks is of no weight, if that is so in a large enough share of the cases in which the word
+    tells names apart. Two words stand for each other if names that differ only in them are common, measured by the rarer of the two: short forms of given names
+    meet the full form, members of a family meet all sorts of names. Each list has fewer than ``params.learned`` entries by arithmetic.
+    """
+    seen = pairs.where(F.col("root").isNotNull() & (F.size("left_a") + F.size("left_b") > 0)).select("root", "left_a", "left_b")
+    alone = (F.size("left_a") + F.size("left_b") == 1).cast("int")
+    cases = seen.select("root", F.explode(F.array_union("left_a", "left_b")).alias("w"), alone.alias("alone")).groupBy("w", "root").agg(F.max("alone").alias("alone"))
+    told = cases.groupBy("w").agg(F.count("*").alias("n"), F.sum("alone").alias("alone"))
+    often = lambda df: df.crossJoin(F.broadcast(df.agg(F.sum("n").alias("all")))).where(F.col("n") * params.learned > F.col("all"))
+    light = often(told).where((F.length("w") > 1) & (F.col("alone") >= params.support) & (F.col("alone") >= params.light * F.col("n"))).select("w").collect()
+    swaps = seen.where((F.size("left_a") == 1) & (F.size("left_b") == 1)).select("root", F.least(F.col("left_a")[0], F.col("left_b")[0]).alias("u"), F.greatest(F.col("left_a")[0], F.col("left_b")[0]).alias("v")).distinct()
+    each = swaps.select("root", F.explode(F.array("u", "v")).alias("w")).distinct().groupBy("w").agg(F.count("*").alias("cases"))
+    of = lambda k: each.select(F.col("w").alias(k), F.col("cases").alias(f"n{k}"))
+    common = often(swaps.groupBy("u", "v").agg(F.count("*").alias("n"))).where((F.col("n") >= params.support) & (F.length("u") > 1) & (F.length("v") > 1))
+    kept = common.join(of("u"), "u").join(of("v"), "v").where(F.col("n") >= params.variant * F.least("nu", "nv"))
+    return Usage(frozenset(r.w for r in light), frozenset((r.u, r.v) for r in kept.select("u", "v").collect()))
 
 
 #: similarities are summed as whole numbers of 1/UNIT, so that equal averages are equal in whatever order they were added up
@@ -237,9 +347,6 @@ def average_linkage(nodes: list, edges: list[tuple], threshold: float, sizes: di
 
     Ties go by a checksum of the two names, an order that ``_in_rounds`` shares. Nodes may be clusters: of ``sizes`` members, edges with summed similarities.
     """
-    import heapq
-    import zlib
-
     members = {n: [n] for n in nodes}
     size = {n: sizes[n] if sizes else 1 for n in nodes}
     sums: dict = {n: {} for n in nodes}
@@ -270,53 +377,76 @@ def average_linkage(nodes: list, edges: list[tuple], threshold: float, sizes: di
     return {n: root for root, group in members.items() for n in group}
 
 
-def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """Connected components of ``a``, ``b``: ``node``, ``component`` (its least node). Labels move along edges and are then replaced by their own labels."""
-    both = materialize(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"))), "links")
-    labels = materialize(both.groupBy("node").agg(F.least("node", F.min("other")).alias("component")), "labels")
-    for _ in range(rounds):
-        offered = both.join(labels.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("near"))
-        nearer = labels.join(offered, "node").select("node", F.least("component", "near").alias("new"), F.col("component").alias("old"))
-        jump = nearer.select(F.col("node").alias("new"), F.col("new").alias("jump"))
-        new = materialize(salted_join(nearer, jump, ["new"], "left").select("node", F.least("new", F.coalesce("jump", "new")).alias("component"), "old"), "labels")
-        changed = new.where("component <> old").limit(1).count()
-        labels = new.select("node", "component")
-        if not changed:
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of ``a``, ``b``: ``node``, ``component`` (its least node); nulls are no nodes.
+
+    Large-star and small-star rounds: every node links its larger neighbours, then its smaller ones, to the least node it knows. Rounds go on until one changes
+    nothing, which is when all nodes hang on the least of their component; their number grows with the logarithm of the size.
+    """
+    both = lambda e: e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
+    mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
+    given = edges.where("a is not null and b is not null")
+    links = materialize(given.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "links")
+    nodes, before = given.select(F.explode(F.array("a", "b")).alias("node")).distinct(), mark(links)
+    while before[0]:
+        ways = both(links)
+        least = ways.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        large = materialize(salted_join(ways, least, ["u"]).where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct(), "large-star")
+        near = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        small = salted_join(large, near, ["hi"]).where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(near.select("hi", F.col("m").alias("lo")))
+        links = materialize(small.distinct(), "small-star")
+        now = mark(links)
+        if now == before:
             break
-    return labels
+        before = now
+    return nodes.join(links.select(F.col("hi").alias("node"), F.col("lo").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def same_entities(entities: DataFrame, key: str = "key", name: str = "name", aliases: str = "aliases", params: NameParams = NameParams()) -> DataFrame:
     """Clusters of entities with variant names: ``key``, ``cluster`` (its least key); only clusters of two or more.
 
-    Two entities are as similar as the closest of their names and aliases, but not at all where their names say that they are different,
-    unless a name or alias of one has the same words as the name of the other.
+    Entities whose names have the same words in the same order are one node. Two nodes are as similar as the closest of their names and aliases, one of which must be a
+    name, but not at all where their names contradict each other, unless a name or alias of one has the same words as the name of the other.
 
     Defined cases: rows with a null key take no part; a null or blank name has only its aliases; repeated rows count once, and the names of rows that
     share a key are names of one entity; null aliases are none; names without any letters match nothing; no rows give no clusters.
     """
     rows = entities.select(F.col(key).alias("key"), F.col(name).alias("name"), F.coalesce(F.col(aliases), F.array()).alias("aliases")).where(F.col("key").isNotNull())
     each = rows.select("key", F.explode(F.concat(F.array(F.struct(F.col("name").alias("name"), F.lit(True).alias("main"))), F.transform("aliases", lambda x: F.struct(x.alias("name"), F.lit(False).alias("main"))))).alias("n"))
-    owned = materialize(each.select("key", "n.name", "n.main").where(F.col("name").isNotNull() & F.col("name").rlike(r"\p{L}")).groupBy("key", "name").agg(F.max("main").alias("main")), "names")
-    distinct = owned.select("name").distinct()
+    lettered = each.select("key", "n.name", "n.main").where(F.col("name").isNotNull() & F.col("name").rlike(r"\p{L}"))
 
-    def score(batches):
+    def worded(batches):
         for batch in batches:
-            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "s": [similarity(x, y, c >= params.bare_cosine) for x, y, c in zip(batch["a"], batch["b"], batch["cosine"])]})
-
-    scored = materialize(name_pairs(distinct, params).repartition("a", "b").mapInPandas(score, "a string, b string, s double"), "name-pairs")
-    equal = distinct.select(F.col("name").alias("a"), F.col("name").alias("b"), F.lit(1.0).alias("s"))
-    of = lambda side, k: owned.select(F.col("name").alias(side), F.col("key").alias(k), F.col("main").alias(f"main_{side}"))
-    wide = salted_join(salted_join(of("a", "ka"), scored.unionByName(equal), ["a"]), of("b", "kb"), ["b"]).where(F.col("ka") != F.col("kb"))
-    against = F.max(F.col("main_a") & F.col("main_b") & (F.col("s") <= 0))
-    exact = F.max((F.col("main_a") | F.col("main_b")) & (F.col("s") >= 1))  # a name of one is the main name of the other
-    pairs = wide.groupBy(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).agg(F.max("s").alias("s"), against.alias("against"), exact.alias("exact"))
-    edges = materialize(pairs.where((~F.col("against") | F.col("exact")) & (F.col("s") > 0)).select("a", "b", "s"), "entity-pairs")
-    return _clusters(edges, params)
+            yield batch.assign(name=[" ".join(words(n)) for n in batch["name"]])
+
+    owned = materialize(lettered.mapInPandas(worded, "key string, name string, main boolean").where("name <> ''").groupBy("key", "name").agg(F.max("main").alias("main")), "names")
+    label = materialize(owned.groupBy("key").agg(F.coalesce(F.min(F.when(F.col("main"), F.col("name"))), F.concat(F.lit("\0"), "key")).alias("node")), "nodes")
+    named = materialize(owned.join(label, "key").groupBy("node", "name").agg(F.max("main").alias("main")), "node-names")
+    pairs = materialize(name_pairs(named.select("name").distinct(), params), "name-pairs")
+    usage = word_usage(pairs, params)
+
+    def judge(batches):
+        for b in batches:
+            yield pd.DataFrame({"a": b["a"], "b": b["b"], "s": b["cosine"], "bad": [contradict(x, y, usage) for x, y in zip(b["a"], b["b"])], "same": [same_words(x, y, usage) for x, y in zip(b["a"], b["b"])]})
+
+    judged = pairs.select("a", "b", "cosine").mapInPandas(judge, "a string, b string, s double, bad boolean, same boolean")
+    mains, all_ = named.where("main").select(F.col("name").alias("m"), F.col("node").alias("km")), named.select("name", "node", "main")
+    ways = judged.unionByName(judged.select(F.col("b").alias("a"), F.col("a").alias("b"), "s", "bad", "same"))
+    equal = named.where("main").select(F.col("name").alias("a"), F.col("name").alias("b"), F.lit(1.0).alias("s"), F.lit(False).alias("bad"), F.lit(True).alias("same")).distinct()
+    # one side is a name, of which a node has few; the other side may be an alias that very many nodes share
+    wide = salted_join(all_, mains.join(ways.unionByName(equal), mains["m"] == F.col("a")).select(F.col("b").alias("name"), "km", "s", "bad", "same"), ["name"]).where(F.col("km") != F.col("node"))
+    met = wide.groupBy(F.least("km", "node").alias("a"), F.greatest("km", "node").alias("b")).agg(
+        F.max(F.when(~F.col("bad"), F.col("s"))).alias("s"), F.max(F.col("main") & F.col("bad")).alias("against"), F.max(F.col("same")).alias("exact")
+    )
+    edges = materialize(met.where(F.col("s").isNotNull() & (~F.col("against") | F.col("exact"))).select("a", "b", "s"), "node-pairs")
+    grouped = _clusters(edges, params).withColumnRenamed("key", "node")
+    found = label.join(grouped, "node", "left").select("key", F.coalesce("cluster", "node").alias("cluster"))
+    least = found.groupBy("cluster").agg(F.min("key").alias("least"), F.count("*").alias("n")).where("n > 1")
+    return salted_join(found, least, ["cluster"]).select("key", F.col("least").alias("cluster"))
 
 
 def _clusters(edges: DataFrame, params: NameParams) -> DataFrame:
-    """Average linkage inside the components of the edges that reach the threshold, by one task a component; components over the bound are first merged in rounds."""
+    """Average linkage inside the components of the edges that reach the threshold, each whole in one task; components over the bound are first merged in rounds."""
     edges = edges.select("a", "b", F.round(F.col("s") * UNIT).cast("bigint").alias("t"), F.lit(1).cast("bigint").alias("na"), F.lit(1).cast("bigint").alias("nb"))
     found = components(edges.where(F.col("t") >= params.linkage * UNIT))
     sizes = found.groupBy("component").agg(F.count("*").alias("size"))
@@ -324,14 +454,15 @@ def _clusters(edges: DataFrame, params: NameParams) -> DataFrame:
     of = lambda side: label.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"), "size")
     inside = edges.join(of("a"), "a").join(of("b").drop("size"), "b").where("ca = cb").drop("cb")
 
-    def link(frame: pd.DataFrame) -> pd.DataFrame:
-        a, b, t = (frame[c].tolist() for c in ("a", "b", "t"))
-        members = dict(zip(a, frame["na"].tolist())) | dict(zip(b, frame["nb"].tolist()))
-        groups = average_linkage(sorted(members), [(x, y, s / UNIT) for x, y, s in zip(a, b, t)], params.linkage, members)
-        return pd.DataFrame({"key": list(groups), "cluster": list(groups.values())})
+    def link(batches):
+        for frame in whole_runs(batches, ["ca"]):
+            a, b, t = (frame[c].tolist() for c in ("a", "b", "t"))
+            members = dict(zip(a, frame["na"].tolist())) | dict(zip(b, frame["nb"].tolist()))
+            groups = average_linkage(sorted(members), [(x, y, s / UNIT) for x, y, s in zip(a, b, t)], params.linkage, members)
+            yield pd.DataFrame({"key": list(groups), "cluster": list(groups.values())})
 
     tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as given, else small components all end up in one task
-    linked = lambda part: part.repartition(tasks, "ca").groupBy("ca").applyInPandas(link, "key string, cluster string")
+    linked = lambda part: part.repartition(tasks, "ca").sortWithinPartitions("ca").mapInPandas(link, "key string, cluster string")
     out = linked(inside.where(F.col("size") <= params.component).drop("size"))
     if label.where(F.col("size") > params.component).limit(1).count():
         large = label.where(F.col("size") > params.component).select("node", F.col("node").alias("cluster"))
