@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,25 +18,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: ``spark.checkpoint.dir``; where that is unset (tests), a temporary one."""
+    """The folder that all executors see: ``spark.checkpoint.dir``. Where that is unset, a temporary one, if driver and executors are one process, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = getattr(spark.sparkContext, "_inkwell_folder", None)
         if not where:
             where = spark.sparkContext._inkwell_folder = "file://" + tempfile.mkdtemp(prefix="inkwell-")
     return where
 
 
-def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
-    """``df`` written as a parquet table in the shared folder and read back: cuts the lineage and survives lost executors.
+#: Paths of materialized tables by the scopes that are open, innermost last.
+_scopes: list[list[str]] = []
 
-    The table is removed when the driver ends.
+
+def materialize(df: DataFrame, label: str = "cut", by: Sequence[str] = ()) -> DataFrame:
+    """``df`` written as a parquet table in the shared folder, partitioned ``by`` columns, and read back: cuts the lineage and survives lost executors.
+
+    The table is removed when the ``scratch`` scope it was made in ends, or else when the driver does.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/inkwell-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*by).parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
+    else:
+        atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Removes the tables that were materialized inside when it ends; for stages whose results are written elsewhere by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _remove(spark, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
