@@ -1,34 +1,38 @@
 """Passages of evaluation items inside a training corpus.
 
-A prefix-filtered set join over word shingles: shingles of the items are ordered by how rare they are in the whole corpus, a document becomes a
-candidate for an item only by sharing one of the item's rarest shingles (its prefix), candidates must then hold enough of them within an
-item-sized window (length and positional bounds), and the words of that window are aligned exactly.
+A prefix-filtered set join over word shingles. A document that reproduces enough of an item must share a certain number of the item's shingles
+with it, so it shares one of the item's prefix: its shingles, the rarest in the corpus first, but for that number less one. Prefixes and documents
+are joined by Spark; of the pairs that meet, those remain that hold enough shingles, and cover enough of the item's words by them, within an item-sized
+window (length and positional bounds), and the words of these windows are aligned exactly.
 """
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
-from collections import Counter, defaultdict
+from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.session import materialize
+from inkwell.session import materialize, salted_join
 
 #: Punctuation outside ASCII that parts words.
 PUNCTUATION = "\u00a0\u00a1\u00ab\u00b7\u00bb\u00bf\u2009\u200b\u2013\u2014\u2018\u2019\u201a\u201c\u201d\u201e\u2022\u2026\u202f"
 #: ASCII letters and digits, bytes of other characters and the mark between texts stay; all else parts words.
 KEPT = bytes(i if i >= 128 or i == 0 or chr(i).isalnum() else 32 for i in range(256))
-MARK, UNKNOWN = -2, -1
+MARK = -1
+#: Odd multipliers that spread the bits of a key over the filter.
+SPREAD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
 @dataclass(frozen=True)
 class LeakParams:
-    #: words of a shingle
-    shingle: int = 5
+    #: words of a shingle; runs are made of shingles, so no run is without one
+    shingle: int = 3
     #: least share of an item's words, reproduced in order
     coverage: float = 0.4
     #: longest stretch of the document, as a multiple of the item's words
@@ -40,10 +44,12 @@ class LeakParams:
     in_runs: float = 0.9
     #: words that may differ inside a run
     gap: int = 3
-    #: least share of an item's shingles in a window that holds a case: two fifths of the words, with one of eight altered
-    shingles: float = 0.12
-    #: items are held in blocks of at most so many words; this bounds what is broadcast
+    #: items are verified in blocks of at most so many words; this bounds what is broadcast
     block_words: int = 200_000
+    #: most bits, as a power of two, of the filter over all shingles of the items, which goes to every task; a fuller filter lets more pass, and loses none
+    filter_bits: int = 28
+    #: prefix tables of up to so many rows are broadcast, larger ones are joined by key
+    broadcast_rows: int = 200_000
 
 
 def fold(word: str) -> str:
@@ -64,142 +70,240 @@ def words_of(text: str | None) -> list[bytes]:
     return [w if w.isascii() else fold(w.decode("utf-8", "replace")).encode() for w in tokens((text or "").replace("\x00", " "))]
 
 
-class Numbers(dict):
-    """Word -> number of the item words; spellings seen are kept, up to a bound."""
+class Keys(dict):
+    """Word -> 63-bit key of the word without accents; spellings seen are kept, up to a bound."""
 
-    def __init__(self, known: dict[bytes, int], bound: int = 1_000_000):
-        super().__init__(known)
-        self.known, self.bound = known, bound
-        self[b"\x00"] = MARK
+    def __init__(self, bound: int = 1_000_000):
+        super().__init__({b"\x00": MARK})
+        self.bound = bound
 
     def __missing__(self, word: bytes) -> int:
-        n = UNKNOWN if word.isascii() else self.known.get(fold(word.decode("utf-8", "replace")).encode(), UNKNOWN)
+        bare = word if word.isascii() else fold(word.decode("utf-8", "replace")).encode()
+        key = int.from_bytes(hashlib.blake2b(bare, digest_size=8).digest(), "big") >> 1
         if len(self) > self.bound:
             self.clear()
-            self.update(self.known)
             self[b"\x00"] = MARK
-        self[word] = n
-        return n
+        self[word] = key
+        return key
 
 
 def _mix(ids: np.ndarray, n: int) -> np.ndarray:
-    """A 63-bit key for every n-gram of word numbers; -1 where a word is unknown."""
+    """A 63-bit key for every n-gram of word keys; -1 where it would reach over the end of a text."""
     if len(ids) < n:
         return np.empty(0, np.int64)
     key, known = np.zeros(len(ids) - n + 1, np.uint64), np.ones(len(ids) - n + 1, bool)
     for k in range(n):
         part = ids[k : len(ids) - n + 1 + k]
         known &= part >= 0
-        key = (key ^ (part.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
+        key = (key ^ (part.astype(np.uint64) + np.uint64(SPREAD[0]))) * np.uint64(0xD6E8FEB86659FD93)
         key ^= key >> np.uint64(32)
     return np.where(known, (key >> np.uint64(1)).astype(np.int64), np.int64(-1))
 
 
-class Items:
-    """The evaluation items of one block: word numbers, shingle keys, postings. Built on the driver, sent to every task."""
+def item_keys(words: list[bytes], keys: Keys, params: LeakParams) -> tuple[int, np.ndarray, int]:
+    """Length of the shingles of an item (all of it if it is shorter), their keys in order, and how many different ones a case has at least.
 
-    def __init__(self, rows: list[tuple[int, str]], params: LeakParams):
-        self.params, self.number, self.words, self.keys_of = params, {}, {}, {}
-        self.items_of = defaultdict(set)
-        for item, text in rows:
-            ids = np.array([self.number.setdefault(w, len(self.number)) for w in words_of(text)], np.int64)
-            if not len(ids):
-                continue
-            keys = set(_mix(ids, min(params.shingle, len(ids))).tolist())
-            self.words[item], self.keys_of[item] = ids, keys
-            for key in keys:
-                self.items_of[key].add(item)
-        self.keys = np.array(sorted(self.items_of), np.int64)
-        self.sizes = sorted({min(params.shingle, len(ids)) for ids in self.words.values()})
-        self.need = {item: max(1, int(np.ceil(params.shingles * len(keys)))) for item, keys in self.keys_of.items()}
-        self.longest = max((len(ids) for ids in self.words.values()), default=0)
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "numbers"}
-
-    def hits(self, texts: list[str]):
-        """Per text: positions and keys of the shingles that some item has (by position), and the numbers of its words."""
-        if not hasattr(self, "numbers"):
-            self.numbers = Numbers(self.number)
-        words = tokens(" \x00 ".join([t.replace("\x00", " ") for t in texts]))
-        ids = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
-        at, keys = [], []
-        for n in self.sizes:
-            k = _mix(ids, n)
-            ok = np.flatnonzero(k >= 0)
-            spot = np.minimum(np.searchsorted(self.keys, k[ok]), len(self.keys) - 1)
-            ok = ok[self.keys[spot] == k[ok]]
-            at.append(ok), keys.append(k[ok])
-        at, keys = (np.concatenate(at), np.concatenate(keys)) if at else (np.empty(0, np.int64), np.empty(0, np.int64))
-        order = np.argsort(at, kind="stable")
-        at, keys = at[order], keys[order]
-        starts = np.concatenate([[0], np.flatnonzero(ids == MARK) + 1])
-        ends = np.append(starts[1:] - 1, len(ids))
-        lo, hi = np.searchsorted(at, starts), np.searchsorted(at, ends)
-        for a, b, s, e in zip(lo.tolist(), hi.tolist(), starts.tolist(), ends.tolist()):
-            yield at[a:b] - s, keys[a:b], ids[s:e]
-
-    def possible(self, at: np.ndarray) -> bool:
-        """Whether some window of the largest size holds as many hits as the least demanding item needs."""
-        need = min(self.need.values(), default=1)
-        size = self.params.stretch * self.longest
-        return len(at) >= need and bool((at[need - 1 :] - at[: len(at) - need + 1] <= size).any())
-
-    def prefixes(self, seen: dict[int, int]) -> dict[int, list[int]]:
-        """Shingle -> items for which it is among the rarest, of which a case cannot avoid all."""
-        out = defaultdict(list)
-        for item, keys in self.keys_of.items():
-            rare = sorted(keys, key=lambda k: (seen.get(k, 0), k))
-            for key in rare[: len(rare) - self.need[item] + 1]:
-                out[key].append(item)
-        return dict(out)
-
-
-def runs_of(item: np.ndarray, doc: np.ndarray, gap: int) -> list[tuple[int, int, int, int, int]]:
-    """Stretches in which ``doc`` follows ``item``: item from, to, document from, to, words in common.
-
-    Trigrams in common are joined while at most ``gap`` words in between differ on either side.
+    Each shingle gives at most its length of reproduced words, so a case has coverage/length as many shingle positions as the item has words; shingles that the item
+    repeats fill several of them.
     """
-    n = min(3, len(item))
-    where, open_, out = defaultdict(list), [], []
-    for i, key in enumerate(_mix(item, n).tolist()):
-        where[key].append(i)
-    for j, key in enumerate(_mix(doc, n).tolist()):
-        for i in where.get(key, ()) if key >= 0 else ():
-            open_ = [r for r in open_ if j - r[-1][1] <= gap + n]
-            fit = [r for r in open_ if 0 < i - r[-1][0] <= gap + n and j > r[-1][1]]
-            if fit:  # the one on the nearest diagonal
-                max(fit, key=lambda r: (-abs(i - r[-1][0] - j + r[-1][1]), len(r))).append((i, j))
+    n = min(params.shingle, len(words))
+    found = _mix(np.array([keys[w] for w in words], np.int64), n)
+    times = np.sort(np.unique(found, return_counts=True)[1])[::-1]
+    return n, found, int(np.searchsorted(np.cumsum(times), np.ceil(params.coverage * len(words) / n - 1e-9)) + 1)
+
+
+class Filter:
+    """A Bloom filter as an array of bytes; what it lets pass in error is dropped by the join."""
+
+    def __init__(self, bits: int, raw: np.ndarray | None = None):
+        self.bits, self.raw = bits, np.zeros(2**bits // 8, np.uint8) if raw is None else raw
+
+    def _spots(self, keys: np.ndarray):
+        for m in SPREAD:
+            yield (keys.astype(np.uint64) * np.uint64(m)) >> np.uint64(64 - self.bits)
+
+    def add(self, keys: np.ndarray) -> None:
+        for spot in self._spots(keys):
+            np.bitwise_or.at(self.raw, (spot >> np.uint64(3)).astype(np.int64), np.uint8(1) << (spot & np.uint64(7)).astype(np.uint8))
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        at = np.arange(len(keys))
+        for spot in self._spots(keys):
+            spot = spot[at] if len(at) < len(spot) else spot
+            at = at[(self.raw[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1]
+        return at
+
+
+def shared_shingles(texts: list[str], keys: Keys, sizes: list[int], known: Filter):
+    """Per text: positions and keys of the shingles that some item may have, by position."""
+    words = tokens(" \x00 ".join([t.replace("\x00", " ") for t in texts]))
+    ids = np.fromiter(map(keys.__getitem__, words), np.int64, len(words))
+    at, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for n in sizes:
+        k = _mix(ids, n)
+        ok = np.flatnonzero(k >= 0)
+        ok = ok[known.has(k[ok])]
+        at.append(ok), found.append(k[ok])
+    at, found = np.concatenate(at), np.concatenate(found)
+    order = np.argsort(at, kind="stable")
+    at, found = at[order], found[order]
+    starts = np.concatenate([[0], np.flatnonzero(ids == MARK) + 1])
+    bounds = np.searchsorted(at, np.append(starts, len(ids) + 1))
+    for a, b, s in zip(bounds[:-1].tolist(), bounds[1:].tolist(), starts.tolist()):
+        yield at[a:b] - s, found[a:b]
+
+
+def possible(at: np.ndarray, size: float, need: int) -> bool:
+    """Whether some ``size`` words hold ``need`` hits."""
+    return len(at) >= need and bool((at[need - 1 :] - at[: len(at) - need + 1] <= size).any())
+
+
+class Block:
+    """Items of bounded size as verification needs them: a posting for every position of every shingle. Many documents are judged at once."""
+
+    def __init__(self, rows: list[tuple], params: LeakParams):
+        self.params, self.ids = params, [r[0] for r in rows]
+        self.number = {i: k for k, i in enumerate(self.ids)}
+        self.length, self.need = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+        self.n, self.least = np.minimum(params.shingle, self.length), np.minimum(params.run, self.length)
+        keys = np.concatenate([r[3] for r in rows])
+        order = np.argsort(keys, kind="stable")
+        self.item = np.repeat(np.arange(len(rows)), [len(r[3]) for r in rows])[order]
+        self.pos = np.concatenate([np.arange(len(r[3])) for r in rows])[order]
+        self.unique, self.starts = np.unique(keys[order], return_index=True)
+        self.times = np.diff(np.append(self.starts, len(order)))
+
+    def cases(self, at: list[np.ndarray], keys: list[np.ndarray], asked: list) -> list[tuple[int, int]]:
+        """The numbers of document and item of the pairs asked for that hold.
+
+        First all equal shingles of a pair, and of these the ones that could be part of a long run, must cover enough of the item's words: no chain of runs has more.
+        Pairs for which they do are aligned exactly.
+        """
+        p, many, wide = self.params, len(self.ids), int(self.length.max()) + 1
+        doc, all_, where = np.repeat(np.arange(len(keys)), [len(k) for k in keys]), np.concatenate(keys), np.concatenate(at)
+        spot = np.minimum(np.searchsorted(self.unique, all_), len(self.unique) - 1)
+        own = self.unique[spot] == all_
+        doc, spot, where = doc[own], spot[own], where[own].astype(np.int64)
+        times = self.times[spot]
+        index = np.repeat(self.starts[spot] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        pair, i, j = np.repeat(doc, times) * many + self.item[index], self.pos[index], np.repeat(where, times)
+        wanted = np.array([d * many + self.number[x] for d, of in enumerate(asked) for x in of], np.int64)
+        for of, least in ((None, p.coverage), ("long", p.coverage * p.in_runs)):
+            if of is None:
+                kept = np.isin(pair, wanted)
+                pair, i, j = pair[kept], i[kept], j[kept]
+                order = np.lexsort((i, j, pair))
+                pair, i, j = pair[order], i[order], j[order]
+                lasting = np.ones(len(pair), bool)
             else:
-                open_.append([(i, j)])
-                out.append(open_[-1])
-    return [(r[0][0], r[-1][0] + n, r[0][1], r[-1][1] + n, len({i + k for i, _ in r for k in range(n)})) for r in out]
+                lasting = self.lasting(pair, i, j)
+            mine = pair[lasting] % many
+            words = np.concatenate([(pair[lasting] * wide + i[lasting] + k)[k < self.n[mine]] for k in range(p.shingle)])
+            words.sort()  # faster than np.unique, which hashes whole numbers
+            words = words[np.flatnonzero(np.diff(words, prepend=-1))]
+            found, covered = np.unique(words // wide, return_counts=True)
+            kept = np.isin(pair, found[covered >= least * self.length[found % many] - 1e-9])
+            pair, i, j, lasting = pair[kept], i[kept], j[kept], lasting[kept]
+        pairs, first = np.unique(pair, return_index=True)
+        last = np.append(first[1:], len(pair))
+        return [divmod(x, many) for x, a, b in zip(pairs.tolist(), first.tolist(), last.tolist()) if self.is_case(x % many, i[a:b], j[a:b], lasting[a:b])]
+
+    def lasting(self, pair: np.ndarray, i: np.ndarray, j: np.ndarray, steps: int = 48) -> np.ndarray:
+        """Which matches some path through others, each near enough to continue the one before, could make part of a long run.
+
+        A step goes on by a word of the item at least, so as many steps either way as words are lacking tell. Matches are sorted by pair and document position. Where a text
+        repeats itself so much that a match has over ``steps`` others near it, its pair passes unchecked.
+        """
+        mine = pair % len(self.ids)
+        more, reach = (self.least - self.n)[mine], self.params.gap + self.n[mine]
+        before, after = [], []
+        a = np.arange(len(i))
+        for s in range(1, steps + 1):
+            a = a[a + s < len(i)]
+            a = a[(pair[a + s] == pair[a]) & (j[a + s] - j[a] <= reach[a])]  # the others have no partner further on either
+            b = a + s
+            on = (j[b] > j[a]) & (i[b] > i[a]) & (i[b] - i[a] <= reach[a])
+            before.append(a[on]), after.append(b[on])
+        low, high = i.copy(), i.copy()
+        if before:
+            before, after = np.concatenate(before), np.concatenate(after)
+            for _ in range(int(more.max(initial=0))):
+                np.minimum.at(low, after, low[before])
+                np.maximum.at(high, before, high[after])
+        return np.isin(pair, pair[a]) | (high - low >= more)
+
+    def covered(self, item: int, i: np.ndarray) -> int:
+        """How many of the item's words stand in shingles at these positions."""
+        words = np.zeros(self.length[item] + self.n[item], bool)
+        for k in range(self.n[item]):
+            words[i + k] = True
+        return int(words.sum())
+
+    def is_case(self, item: int, i: np.ndarray, j: np.ndarray, lasting: np.ndarray) -> bool:
+        """Exact verification of one pair from its matches: enough of the item's words in order within the stretch, mostly in long runs."""
+        p, length = self.params, int(self.length[item])
+        enough, stretch = p.coverage * length, p.stretch * length
+        for a, b in windows(np.unique(j), int(stretch), int(self.need[item])):
+            lo, hi = np.searchsorted(j, a), np.searchsorted(j, b, "right")
+            if self.covered(item, i[lo:hi]) < enough or self.covered(item, i[lo:hi][lasting[lo:hi]]) < p.in_runs * enough:
+                continue
+            runs = runs_of(i[lo:hi].tolist(), j[lo:hi].tolist(), int(self.n[item]), p.gap)
+            long = [r for r in runs if r[1] - r[0] >= self.least[item]]
+            if sum(r[4] for r in long) < p.in_runs * enough or not chained(long, stretch, p.in_runs * enough):
+                continue
+            if chained([r for r in runs if r[4] >= min(p.short_run, length)], stretch, enough):
+                return True
+        return False
+
 
+def runs_of(at_item: list[int], at_doc: list[int], n: int, gap: int) -> list[tuple[int, int, int, int, int]]:
+    """Stretches in which a document follows an item: item from, to, document from, to, words in common; from the positions of equal shingles of ``n`` words.
 
-def chained(runs: list[tuple[int, int, int, int, int]], stretch: float) -> int:
-    """Most words in runs that follow each other on both sides within ``stretch`` words of the document."""
-    runs, best = sorted(runs, key=lambda r: r[2]), []
+    Shingles in common are joined while at most ``gap`` words in between differ on either side; of several runs that one could extend, it goes to that on the nearest
+    diagonal. There is one open run a diagonal, so the work grows with the pairs of equal shingles, however repetitive the texts.
+    """
+    reach, out = gap + n, []
+    open_: dict[int, list] = {}  # diagonal -> first item and document position, last ones, words
+    offsets = sorted(range(-reach, reach + 1), key=abs)
+    for i, j in zip(at_item, at_doc):
+        d, run = i - j, None
+        for o in offsets:
+            r = open_.get(d + o)
+            if r is not None and 0 < i - r[2] <= reach and 0 < j - r[3] <= reach:
+                run = r
+                if o:
+                    del open_[d + o]
+                break
+        if run is None:
+            run = [i, j, i, j, n]
+            out.append(run)
+        else:
+            run[4] += min(n, i - run[2])
+            run[2], run[3] = i, j
+        open_[d] = run
+    return [(r[0], r[2] + n, r[1], r[3] + n, r[4]) for r in out]
+
+
+def chained(runs: list[tuple[int, int, int, int, int]], stretch: float, enough: float = float("inf")) -> int:
+    """Most words in runs that follow each other on both sides within ``stretch`` words of the document; 0 if they are not ``enough``, where that is asked."""
+    runs, best, most = sorted(runs, key=lambda r: r[2]), [], 0
     for k, (i0, _, j0, j1, words) in enumerate(runs):
         chains = [(j0, words)]
-        for (p0, p1, _, _, _), before in zip(runs[:k], best):
+        for p in range(k - 1, -1, -1):
+            p0, p1, q0, _, _ = runs[p]
+            if j1 - q0 > stretch:  # so do all before it, and no chain may begin there
+                break
             if p0 < i0 and p1 <= i0 + 2:
-                chains += [(start, sum_ + words) for start, sum_ in before if j1 - start <= stretch]
+                chains += [(start, sum_ + words) for start, sum_ in best[p] if j1 - start <= stretch]
         kept: list[tuple[int, int]] = []  # a chain that starts further back counts only if it has more words
         for start, sum_ in sorted(chains, reverse=True):
             if not kept or sum_ > kept[-1][1]:
                 kept.append((start, sum_))
         best.append(kept)
-    return max((chains[-1][1] for chains in best), default=0)
-
-
-def is_case(item: np.ndarray, doc: np.ndarray, params: LeakParams) -> bool:
-    """Exact verification: enough of the item's words in order within the stretch, mostly in long runs."""
-    runs, stretch = runs_of(item, doc, params.gap), params.stretch * len(item)
-    least = min(params.run, len(item))
-    all_ = chained([r for r in runs if r[4] >= min(params.short_run, len(item))], stretch)
-    if all_ < params.coverage * len(item):
-        return False
-    return chained([r for r in runs if r[1] - r[0] >= least], stretch) >= params.in_runs * params.coverage * len(item)
+        most = max(most, kept[-1][1])
+        if most >= enough:
+            return most
+    return most if enough == float("inf") else 0
 
 
 def windows(at: np.ndarray, size: int, need: int) -> list[tuple[int, int]]:
@@ -218,39 +322,101 @@ def windows(at: np.ndarray, size: int, need: int) -> list[tuple[int, int]]:
 def leaked_items(documents: DataFrame, items: DataFrame, params: LeakParams = LeakParams(), doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Pairs ``doc_id``, ``item_id`` where the document reproduces passages of the item.
 
-    Texts are read once. Every document keeps the positions of the shingles it shares with any item and, where a window could hold a case, its
-    words as numbers. Counted over all documents, the shared shingles give the rarity order and so the prefixes; the documents that have a
-    prefix shingle of an item are its candidates. The item set is held in blocks of at most ``block_words`` words, so
-    what is broadcast has that bound; more items mean more blocks, each run over the corpus.
+    Texts are read and parted into words once, whatever the number of items. Every document in which a window could hold a case keeps the positions and 63-bit keys of
+    the shingles that some item may have (a filter of bounded size over all of them decides; what it lets pass in error drops out later). Counted over
+    all documents, these give the order of rarity and so the prefixes, which are joined with the documents by key. The pairs that meet are verified
+    from the kept shingles, the items in blocks of at most ``block_words`` words; each block reads its own candidates only.
 
-    Defined cases: null or blank texts and items share nothing; a repeated (id, text) row gives its pair once; an item
-    shorter than a shingle is one shingle of its own length; no documents or no items give no rows; ties in rarity are broken by the key.
+    Defined cases: null or blank texts and items share nothing; a repeated (id, text) row gives its pair once; rows of one document id are texts of their own; texts of one item
+    id are one item; an item shorter than a shingle is one shingle of its own length; no documents or no items give no rows; ties in rarity are broken by the key.
     """
     spark = documents.sparkSession
-    docs = documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("txt")).where(F.col("doc").isNotNull() & F.col("txt").isNotNull())
-    given = items.select(F.col(item_id).alias("item"), F.col(item_text).alias("t")).where(F.col("item").isNotNull() & F.col("t").isNotNull()).distinct()
     doc_type, item_type = documents.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
-    out = None
-    for block in _blocks(given, params.block_words):
-        part = _leaks_of_block(spark, docs, Items(block, params), doc_type, item_type)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], f"doc {doc_type}, item {item_type}")
+    given = items.select(F.col(item_id).alias("item"), F.col(item_text).alias("t")).where(F.col("item").isNotNull() & F.col("t").isNotNull())
+    one = given.groupBy("item").agg(F.array_join(F.array_sort(F.collect_set("t")), "\n").alias("t"))
+
+    def parse(batches):
+        keys = Keys()
+        for batch in batches:
+            rows = []
+            for item, t in zip(batch["item"], batch["t"]):
+                words = words_of(t)
+                if words:
+                    n, found, need = item_keys(words, keys, params)
+                    rows.append((item, len(words), n, need, found.tolist()))
+            yield _frame(item=[r[0] for r in rows], length=[r[1] for r in rows], n=[r[2] for r in rows], need=[r[3] for r in rows], keys=[r[4] for r in rows])
+
+    parsed = one.mapInPandas(parse, f"item {item_type}, length int, n int, need int, keys array<bigint>")
+    before = F.sum("length").over(Window.orderBy("item").rowsBetween(Window.unboundedPreceding, -1))  # over the items, without their texts
+    numbered = parsed.select("item", "length").withColumn("block", F.floor(F.coalesce(before, F.lit(0)) / params.block_words).cast("int"))
+    shingled = materialize(parsed.join(numbered.select("item", "block"), "item"), "item-shingles")
+    facts = shingled.agg(F.max("length").alias("longest"), F.min("need").alias("need"), F.collect_set("n").alias("sizes"), F.sum(F.size("keys")).alias("keys"), F.max("block").alias("last")).first()
+    if not facts.keys:
+        return spark.createDataFrame([], f"doc_id {doc_type}, item_id {item_type}")
+    known = spark.sparkContext.broadcast(_filter(shingled, facts["keys"], params))
+    sizes, need, reach = sorted(facts.sizes), facts.need, params.stretch * facts.longest
+
+    def scan(batches):
+        keys = Keys()
+        for batch in batches:
+            for part in _parts(batch):
+                rows = [(d, at, k) for d, (at, k) in zip(part["doc"], shared_shingles(part["txt"].tolist(), keys, sizes, known.value)) if possible(at, reach, need)]
+                yield _frame(doc=[r[0] for r in rows], at=[r[1].astype(np.int32) for r in rows], keys=[r[2] for r in rows])
+
+    docs = documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("txt")).where(F.col("doc").isNotNull() & F.col("txt").isNotNull())
+    hits = docs.mapInPandas(scan, f"doc {doc_type}, at array<int>, keys array<bigint>").withColumn("row", F.monotonically_increasing_id())
+    hits = materialize(hits, "shingle-hits")
+    probe = hits.select("row", F.explode(F.array_distinct("keys")).alias("key"))
+    seen = probe.groupBy("key").agg(F.count("*").alias("seen"))
+    of_items = shingled.select("item", "block", "need", F.explode(F.array_distinct("keys")).alias("key"))
+    rarest = Window.partitionBy("item").orderBy("seen", "key")
+    ranked = of_items.join(seen, "key", "left").withColumn("seen", F.coalesce("seen", F.lit(0))).withColumn("rank", F.row_number().over(rarest)).withColumn("n", F.count("*").over(Window.partitionBy("item")))
+    prefix = materialize(ranked.where((F.col("rank") <= F.col("n") - F.col("need") + 1) & (F.col("seen") > 0)).select("key", "item", "block"), "prefixes")
+    met = probe.join(F.broadcast(prefix), "key") if prefix.count() <= params.broadcast_rows else salted_join(probe, prefix, ["key"])
+    asked = met.groupBy("block", "row").agg(F.collect_set("item").alias("items"))
+    candidates = materialize(asked.join(hits, "row").select("block", "doc", "at", "keys", "items"), "candidates", by=["block"])
+    found = [_verified(candidates.where(F.col("block") == b), shingled.where(F.col("block") == b), params, doc_type, item_type) for b in range(facts["last"] + 1)]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
     return out.distinct().select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
 
 
-def _blocks(given: DataFrame, limit: int):
-    """Items in runs of at most ``limit`` words, one run at a time on the driver. Texts of one id are one item."""
-    block, n = [], 0
-    for row in given.groupBy("item").agg(F.array_join(F.array_sort(F.collect_set("t")), "\n").alias("t")).orderBy("item").toLocalIterator():
-        more = len(words_of(row.t))
-        if block and n + more > limit:
-            yield block
-            block, n = [], 0
-        block.append((row.item, row.t))
-        n += more
-    if block:
-        yield block
+def _filter(shingled: DataFrame, n: int, params: LeakParams) -> Filter:
+    """The filter over all shingles of the items: 32 bits each as far as ``filter_bits`` allows. Tasks make it in parts of that size, of which there are at most four."""
+    bits = max(16, min(params.filter_bits, int(np.ceil(np.log2(32 * n)))))
+
+    def collect(batches):
+        part = Filter(bits)
+        for batch in batches:
+            for keys in batch["keys"]:
+                part.add(np.asarray(keys))
+        yield pd.DataFrame({"raw": [part.raw.tobytes()]})
+
+    raw = np.zeros(2**bits // 8, np.uint8)
+    for row in shingled.select("keys").coalesce(4).mapInPandas(collect, "raw binary").toLocalIterator():
+        raw |= np.frombuffer(row.raw, np.uint8)
+    return Filter(bits, raw)
+
+
+def _verified(candidates: DataFrame, block: DataFrame, params: LeakParams, doc_type: str, item_type: str) -> DataFrame:
+    """``doc``, ``item`` of the candidates that hold; the items of the block, whose size is bounded, go to every task."""
+    spark = candidates.sparkSession
+    held = spark.sparkContext.broadcast([(r["item"], r["length"], r["need"], np.array(r["keys"], np.int64)) for r in block.select("item", "length", "need", "keys").collect()])
+
+    def verify(batches):
+        items = Block(held.value, params)
+        for batch in batches:
+            docs, found = [], []
+            for k in range(0, len(batch), 500):
+                part = batch.iloc[k : k + 500]
+                doc = part["doc"].tolist()
+                for d, i in items.cases(part["at"].tolist(), part["keys"].tolist(), part["items"].tolist()):
+                    docs.append(doc[d]), found.append(items.ids[i])
+            yield _frame(doc=docs, item=found)
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # the table is small beside the work, and would be read by few tasks
+    return candidates.repartition(tasks).mapInPandas(verify, f"doc {doc_type}, item {item_type}")
 
 
 def _parts(batch: pd.DataFrame, chars: int = 4_000_000):
@@ -263,39 +429,3 @@ def _parts(batch: pd.DataFrame, chars: int = 4_000_000):
 def _frame(**columns: list) -> pd.DataFrame:
     """A frame whose columns keep their kind where they are empty."""
     return pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in columns.items()})
-
-
-def _leaks_of_block(spark, docs: DataFrame, index: Items, doc_type: str, item_type: str) -> DataFrame:
-    shared = spark.sparkContext.broadcast(index)
-
-    def scan(batches):
-        items = shared.value
-        for batch in batches:
-            for part in _parts(batch):
-                rows = [(d, *h) for d, h in zip(part["doc"], items.hits(part["txt"].tolist())) if len(h[0])]
-                yield _frame(
-                    doc=[r[0] for r in rows], at=[r[1] for r in rows], keys=[r[2] for r in rows],
-                    words=[r[3].astype(np.int32).tobytes() if items.possible(r[1]) else None for r in rows],
-                )
-
-    hits = materialize(docs.mapInPandas(scan, f"doc {doc_type}, at array<bigint>, keys array<bigint>, words binary"), "shingle-hits")
-    # at most one row a shingle of the block, whose size is bounded
-    seen = {r.k: r.n for r in hits.select(F.explode(F.array_distinct("keys")).alias("k")).groupBy("k").agg(F.count("*").alias("n")).collect()}
-    prefix = spark.sparkContext.broadcast(index.prefixes(seen))
-
-    def verify(batches):
-        items, first = shared.value, prefix.value
-        for batch in batches:
-            docs_, items_ = [], []
-            for doc, at, keys, words in zip(batch["doc"], batch["at"], batch["keys"], batch["words"]):
-                ids, keys = np.frombuffer(words, np.int32).astype(np.int64), keys.tolist()
-                for item in sorted({i for k in set(keys) for i in first.get(k, ())}):
-                    own, length = items.keys_of[item], len(items.words[item])
-                    mine = at[[k in own for k in keys]]
-                    for a, b in windows(mine, int(items.params.stretch * length), items.need[item]):
-                        if is_case(items.words[item], ids[max(0, a - length) : b + length], items.params):
-                            docs_.append(doc), items_.append(item)
-                            break
-            yield _frame(doc=docs_, item=items_)
-
-    return hits.where(F.col("words").isNotNull()).mapInPandas(verify, f"doc {doc_type}, item {item_type}")
