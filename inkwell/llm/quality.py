@@ -1,13 +1,15 @@
 """Text quality statistics per document, and which texts are not natural prose.
 
 A text falls into passages (runs of lines of one kind between blank lines). Each passage has a vector of statistics; a Gaussian
-mixture fitted by expectation-maximization on the standardized statistics of all passages gives components, which inspected examples
-map to prose, list, table or junk. A text is natural prose where prose passages hold at least half of its characters.
+mixture fitted by expectation-maximization on the standardized statistics of all passages gives components, which start from the data and which inspected
+examples map to prose, list, table or junk. A text is natural prose where prose passages hold at least half of its characters.
 """
 
 from __future__ import annotations
 
 import re
+import warnings
+from dataclasses import dataclass
 from math import log, log1p
 
 import numpy as np
@@ -17,6 +19,20 @@ from pyspark.sql import functions as F
 
 from inkwell.session import materialize
 
+@dataclass(frozen=True)
+class QualityParams:
+    #: components of the mixture
+    components: int = 32
+    #: passages, about, of the sample on which the components start; they are then fitted on all passages
+    sample: int = 20_000
+    #: mean gain of log likelihood at which a fit has converged, and the most rounds until it has
+    tolerance: float = 1e-3
+    rounds: int = 200
+    #: least variance of a standardized statistic in a component
+    floor: float = 0.02
+    seed: int = 7
+
+
 # The commonest function words of the languages of the corpus.
 COMMON = {
     "en": "a an the this that these those each every another one our my your his her its their we i you he she it they and or but so because while whereas although until unless since of in on at to for from by with without under over near next after before behind during inside instead top apart between into out up down off is are was were be been has have had not no do does did will would can could may which who what when where there here than then as if about keeps more most some any such once so far",
@@ -47,6 +63,7 @@ EXAMPLES = [
     ("list", "- flour\n- dry yeast, salt\n- oven tray: 2\n- tea towel"),
     ("list", "- [ ] call plumber\n- [ ] spare key\n- [ ] paint, brush: 3"),
     ("list", "a) lamp, cable\nb) switch\nc) fuse box: 14"),
+    ("list", "- shelf 2\n- lamp, tape: 7\n- shelf 3\n- fuse, cord: 8"),
     ("table", "lamp\t14.20\t88\thall\ncable\t3.50\t7102\tcellar\nfuse\t0.80\t2026-01-04\tloft"),
     ("table", "| part | price | room |\n|---|---|---|\n| lamp | 14.20 | hall |\n| cable | | 7102 |"),
     ("table", "lamp;14.20;88;hall\ncable;3.50;7102;cellar\nfuse;0.80;;loft"),
@@ -143,15 +160,40 @@ def text_passages(text: str | None) -> list[tuple[int, tuple[float, ...] | None]
 
 
 class Mixture:
-    """A Gaussian mixture with diagonal covariances on standardized statistics, started from the inspected examples."""
+    """A Gaussian mixture with diagonal covariances on standardized statistics.
 
-    def __init__(self, center: np.ndarray, scale: np.ndarray, spread: float = 0.5, floor: float = 0.02):
-        self.center, self.scale, self.floor = center, np.maximum(scale, 1e-6), floor
+    It starts from a sample: centres by k-means++ and a few rounds of k-means, then expectation-maximization on the sample until that converges.
+    """
+
+    def __init__(self, center: np.ndarray, scale: np.ndarray, sample: np.ndarray, params: QualityParams):
+        self.center, self.scale, self.floor = center, np.maximum(scale, 1e-6), params.floor
         self.examples = self.standard(np.array([statistics(t.split("\n"))[1] for _, t in EXAMPLES]))
         self.labels = [c for c, _ in EXAMPLES]
-        self.mean = self.examples.copy()
-        self.var = np.full(self.mean.shape, spread)
-        self.weight = np.full(len(self.mean), 1 / len(self.mean))
+        self._start(self.standard(sample[np.lexsort(sample.T)].astype(np.float64)), params)
+        self.rounds, self.likelihood, self.converged = 0, None, False
+
+    def _start(self, z: np.ndarray, params: QualityParams) -> None:
+        rng, distinct = np.random.default_rng(params.seed), len(np.unique(z, axis=0))
+        centers = [z[rng.integers(len(z))]]
+        far = ((z - centers[0]) ** 2).sum(1)
+        while len(centers) < min(params.components, distinct) and far.sum() > 0:
+            centers.append(z[rng.choice(len(z), p=far / far.sum())])
+            far = np.minimum(far, ((z - centers[-1]) ** 2).sum(1))
+        mean = np.array(centers)
+        for _ in range(10):
+            of = ((z * z).sum(1)[:, None] - 2 * z @ mean.T + (mean**2).sum(1)).argmin(1)
+            mean = np.array([z[of == k].mean(0) if (of == k).any() else mean[k] for k in range(len(mean))])
+        self.mean, self.weight = mean, np.maximum(np.bincount(of, minlength=len(mean)), 1) / len(z)
+        self.weight = self.weight / self.weight.sum()
+        self.var = np.array([np.maximum(z[of == k].var(0), params.floor) if (of == k).sum() > 1 else np.ones(z.shape[1]) for k in range(len(mean))])
+        before = None
+        for _ in range(params.rounds):
+            stats, total = self._sums(z)
+            self.maximize(stats)
+            now = total / len(z)
+            if before is not None and now - before < params.tolerance:
+                break
+            before = now
 
     def standard(self, x: np.ndarray) -> np.ndarray:
         return (x - self.center) / self.scale
@@ -170,7 +212,9 @@ class Mixture:
 
     def expect(self, x: np.ndarray) -> tuple[np.ndarray, float]:
         """Sufficient statistics of the rows: for each component weight, sums and sums of squares."""
-        z = self.standard(x.astype(np.float64))
+        return self._sums(self.standard(x.astype(np.float64)))
+
+    def _sums(self, z: np.ndarray) -> tuple[np.ndarray, float]:
         r, likelihood = self.responsibilities(z)
         return np.concatenate([r.sum(0)[:, None], r.T @ z, r.T @ (z * z)], 1), likelihood
 
@@ -184,12 +228,9 @@ class Mixture:
         self.weight /= self.weight.sum()
 
     def classes(self) -> np.ndarray:
-        """The class of each component: the one whose examples it explains best; where it explains none, that of the nearest example."""
-        r, _ = self.responsibilities(self.examples)
-        mass = np.stack([r[[k for k, c in enumerate(self.labels) if c == name]].sum(0) for name in CLASSES], 1)
-        far = (((self.mean[:, None] - self.examples[None]) ** 2) / self.var[:, None]).sum(2).argmin(1)
-        near = np.array([CLASSES.index(self.labels[k]) for k in far])
-        return np.where(mass.max(1) >= 0.05, mass.argmax(1), near)
+        """The class of each component: that of the example nearest to its mean."""
+        near = ((self.mean[:, None] - self.examples[None]) ** 2).sum(2).argmin(1)
+        return np.array([CLASSES.index(self.labels[k]) for k in near])
 
     def classify(self, x: np.ndarray) -> np.ndarray:
         """Probability of each class, a row each."""
@@ -220,8 +261,12 @@ def _matrix(stats: bytes) -> np.ndarray:
     return np.frombuffer(stats, np.float32).reshape(-1, len(FEATURES))
 
 
-def fit(blocks: DataFrame, rounds: int = 20, tolerance: float = 1e-3) -> Mixture | None:
-    """Expectation-maximization over every passage; each round sums sufficient statistics a task and combines a few numbers on the driver."""
+def fit(blocks: DataFrame, params: QualityParams = QualityParams()) -> Mixture | None:
+    """The mixture of all passages; None if there are none. Warns if the rounds are over before it has converged.
+
+    The sample that it starts from is drawn by document and place. Each round of expectation-maximization covers every passage: sufficient statistics are summed by task
+    and a few numbers are combined on the driver.
+    """
 
     def moments(batches):
         total = np.zeros((3, len(FEATURES)))
@@ -241,10 +286,21 @@ def fit(blocks: DataFrame, rounds: int = 20, tolerance: float = 1e-3) -> Mixture
     totals = summed(moments, d)
     if not len(totals) or totals[0, 0] < 1:
         return None
-    mean = totals[1] / totals[0]
-    mixture = Mixture(mean, np.sqrt(np.maximum(totals[2] / totals[0] - mean**2, 0)))
-    before = None
-    for _ in range(rounds):
+    mean, share = totals[1] / totals[0], min(1.0, params.sample / totals[0, 0])
+
+    def draw(batches):
+        for batch in batches:
+            for ids, n, raw in zip(batch["ids"], batch["n"], batch["stats"]):
+                x, place = _matrix(raw), np.concatenate([[0], np.cumsum(n)])
+                own = pd.util.hash_array(np.array([str(i) for i in ids], object))
+                mixed = (np.repeat(own, n) + (np.arange(len(x)) - np.repeat(place[:-1], n)).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+                taken = x[~np.isnan(x[:, 0]) & ((mixed >> np.uint64(32)) < np.uint64(int(share * 2**32)))]
+                yield pd.DataFrame({"x": [r.tobytes() for r in taken]}).astype({"x": object})
+
+    rows = blocks.select("ids", "n", "stats").mapInPandas(draw, "x binary").limit(2 * params.sample).collect()
+    sample = _matrix(b"".join(r.x for r in rows)) if rows else mean[None].astype(np.float32)
+    mixture = Mixture(mean, np.sqrt(np.maximum(totals[2] / totals[0] - mean**2, 0)), sample, params)
+    for _ in range(params.rounds):
 
         def expect(batches, mixture=mixture):
             total, likelihood = np.zeros((len(mixture.mean), 2 * d + 1)), 0.0
@@ -258,15 +314,18 @@ def fit(blocks: DataFrame, rounds: int = 20, tolerance: float = 1e-3) -> Mixture
             yield pd.DataFrame({"k": range(len(total) + 1), "v": [*total, np.array([likelihood] + [0.0] * 2 * d)]})
 
         sums = summed(expect, 2 * d + 1)
+        now, before = sums[-1, 0] / totals[0, 0], mixture.likelihood
         mixture.maximize(sums[:-1])
-        now = sums[-1, 0] / totals[0, 0]
-        if before is not None and abs(now - before) < tolerance:
+        mixture.rounds, mixture.likelihood = mixture.rounds + 1, now
+        mixture.converged = before is not None and now - before < params.tolerance
+        if mixture.converged:
             break
-        before = now
+    if params.rounds and not mixture.converged:
+        warnings.warn(f"the mixture has not converged in {params.rounds} rounds (mean log likelihood {mixture.likelihood:.4f})", stacklevel=2)
     return mixture
 
 
-def text_quality(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = 20) -> DataFrame:
+def text_quality(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", params: QualityParams = QualityParams()) -> DataFrame:
     """Per document: ``chars`` without whitespace, shares of prose, list, table and junk among them, ``kind`` and ``is_prose``.
 
     Texts are read once, into blocks of passage statistics; the mixture is fitted on all of them and then applied to them.
@@ -277,7 +336,7 @@ def text_quality(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     """
     kind = documents.schema[doc_id].dataType.simpleString()
     blocks = materialize(passage_blocks(documents, doc_id, text), "passages")
-    mixture = fit(blocks, rounds)
+    mixture = fit(blocks, params)
 
     def rate(batches):
         for batch in batches:

@@ -1,6 +1,6 @@
 import random
 
-from inkwell.llm.quality import CLASSES, EXAMPLES, passages, statistics, text_measures, text_passages, text_quality
+from inkwell.llm.quality import CLASSES, EXAMPLES, QualityParams, fit, passage_blocks, passages, statistics, text_measures, text_passages, text_quality
 
 PROSE = ["We moved the old lamp to the hall because the light in the loft was too weak for the work. ", "Nobody knows who wrote the note, but it was on the table when I came in. ", "The second printer is in the cellar, and the cable that we need for it is not there. "]
 TABLE = "\n".join(f"lamp{i}\t{i}.20\t{i * 77}\thall" for i in range(12))
@@ -36,6 +36,24 @@ def test_kinds(spark):
     assert text_quality(df.where("doc_id = 60")).first().is_prose is None
 
 
+def test_mixture_converges_whatever_the_partitions(spark):
+    texts = [prose(6, i) for i in range(40)] + [TABLE] * 9 + [LIST] * 9
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    fits = [fit(passage_blocks(df.repartition(n), "doc_id", "text"), QualityParams(components=6)) for n in (1, 4)]
+    assert all(m.converged and m.rounds > 1 for m in fits) and abs(fits[0].likelihood - fits[1].likelihood) < 1e-6
+    assert {CLASSES[c] for c in fits[0].classes()} >= {"prose", "list", "table"}
+    start = fit(passage_blocks(df, "doc_id", "text"), QualityParams(components=6, rounds=0))
+    assert start.rounds == 0 and not start.converged
+
+
+def test_unconverged_fit_warns(spark):
+    import pytest
+
+    df = spark.createDataFrame([(i, prose(6, i)) for i in range(20)], "doc_id bigint, text string")
+    with pytest.warns(UserWarning, match="not converged"):
+        fit(passage_blocks(df, "doc_id", "text"), QualityParams(components=2, rounds=1))
+
+
 def test_measures(spark):
     df = spark.createDataFrame([(1, "The lamp is on.\n- lamp"), (2, ""), (3, None)], "doc_id bigint, text string")
     got = {r.doc_id: r for r in text_measures(df).collect()}
