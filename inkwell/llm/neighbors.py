@@ -33,6 +33,8 @@ class NeighborParams:
     sample: int = 20_000
     #: queries that are compared at once
     block: int = 512
+    #: most tasks of a stage; with more leaves than that, a task has several
+    tasks: int = 10_000
     seed: int = 7
 
 
@@ -186,19 +188,21 @@ def similar_vectors(table: DataFrame, id_col: str, vector_col: str, k: int = 10,
             yield pd.DataFrame({"id": batch["id"][norm > 0].to_numpy(), "u": [r.tobytes() for r in unit]})
 
     # Two hashes stand for a vector where only equality is asked for.
-    hashes = (F.xxhash64("u").alias("h1"), F.xxhash64("u", F.lit(1)).alias("h2"))
+    hashes = (F.xxhash64("u").alias("h1"), F.xxhash64(F.lit(1), "u").alias("h2"))
     units = materialize(once.mapInPandas(normalize, "id string, u binary").select("id", "u", *hashes), "units")
     by_vector = Window.partitionBy("h1", "h2").orderBy("id")
     low = units.withColumn("r", F.row_number().over(by_vector)).where(F.col("r") <= k + 1)  # pruned before the shuffle as well
-    groups = low.groupBy("h1", "h2").agg(F.min("u").alias("u"), F.array_sort(F.collect_list("id")).alias("low")).withColumn("gid", F.monotonically_increasing_id())
-    groups = materialize(groups, "vectors")
+    groups = low.groupBy("h1", "h2").agg(F.min("u").alias("u"), F.array_sort(F.collect_list("id")).alias("low"))
+    # numbered in the order of their least ids, so that ties in distance go by id wherever numbers are compared
+    ordered = groups.withColumn("first", F.col("low")[0]).repartitionByRange("first").sortWithinPartitions("first").drop("first")
+    groups = materialize(ordered.withColumn("gid", F.monotonically_increasing_id()), "vectors")
     n = groups.count()
     depth = max(0, math.ceil(math.log2(max(1, n) / params.leaf_rows)))
-    sampled = groups.select("u").orderBy(F.xxhash64("u"), "u").limit(min(params.sample * (1 + (depth > 9)), 2 * params.sample)).toPandas()
+    sampled = groups.select("u").orderBy(F.xxhash64("u"), "u").limit(params.sample).toPandas()
     tree = Tree(_unit(sampled["u"], dims) if len(sampled) else np.zeros((0, dims), np.float32), depth, params)
     shared = spark.sparkContext.broadcast(tree)
     widest = np.float64(4.0 if min_cosine is None else 2 - 2 * min_cosine)
-    width = max(12, 4 * 2**depth)
+    width = min(max(12, 4 * 2**depth), params.tasks)
 
     def at_home(batches):
         for batch in batches:

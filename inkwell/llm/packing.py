@@ -39,6 +39,8 @@ class PackParams:
     well_filled: float = 0.98
     #: most rows of the container table; it goes to every task
     slots: int = 1000
+    #: most tasks of a round; with more groups than that, a task packs several
+    tasks: int = 10_000
 
 
 def encoder(path: str):
@@ -69,8 +71,13 @@ def token_sizes(documents: DataFrame, doc_id: str, text: str, params: PackParams
 
 
 def pack(tokens: np.ndarray, loss: np.ndarray, capacity: int, segments: int, loss_limit: int) -> np.ndarray:
-    """The container number of each item, by the dot-product heuristic; -1 for an item that no container can hold. Items of equal demand are taken in order."""
+    """The container number of each item, by the dot-product heuristic; -1 for an item above the capacity. Items of equal demand are taken in order.
+
+    An item that alone bears more loss than the limit has a container of its own, since it may not be split.
+    """
     out = np.full(len(tokens), -1, np.int64)
+    alone = np.flatnonzero((tokens <= capacity) & (loss > loss_limit)) if segments > 0 else np.empty(0, np.int64)
+    out[alone] = np.arange(len(alone))
     order = np.lexsort((np.arange(len(tokens)), -loss, -tokens))
     order = order[(tokens[order] <= capacity) & (loss[order] <= loss_limit)] if segments > 0 else order[:0]
     n = len(order)
@@ -81,7 +88,7 @@ def pack(tokens: np.ndarray, loss: np.ndarray, capacity: int, segments: int, los
     count = np.diff(np.append(first, n))
     kt, kl, next_ = t[first], l[first], first.copy()
     unit_t, unit_l, unit_s = kt / capacity, kl / max(1, loss_limit), 1 / segments
-    bin_, left = 0, n
+    bin_, left = len(alone), n
     alive = np.arange(len(kt))
     while left:
         room_t, room_l, room_s = capacity, loss_limit, segments
@@ -106,19 +113,15 @@ def pack(tokens: np.ndarray, loss: np.ndarray, capacity: int, segments: int, los
     return out
 
 
-#: Rounds of opening containers; those of the last are kept as they are.
-ROUNDS = 20
-
-
 def pack_documents(documents: DataFrame, slots: DataFrame, params: PackParams = PackParams(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Places every text in containers of every size: ``slot_id``, ``container``, ``doc_id``, ``part``, ``first_token``, ``tokens``, ``loss_tokens``.
 
     A text above the capacity, and no other, is split: into parts that fill a container each, and a rest. Sizes are counted once for all container sizes. Items are
     packed in groups of about ``group_rows``, so no task holds more whatever the corpus; containers that stay emptier than ``well_filled`` are opened and their
-    items packed again with those of other groups, until one group is left of them, they no longer shrink, or ``ROUNDS`` are over.
+    items packed again with those of other groups, until one group is left of them or a round leaves over nine tenths of them; then all stay as they are.
 
     Defined cases: null, blank-only and empty texts with no tokens are left out, as are null ids; a repeated row counts once; a container size below one is left
-    out; no documents or no sizes give no rows. Frontmatter bears no loss. If ``loss_share`` is below one, a part is at most as long as the loss limit.
+    out; no documents or no sizes give no rows. Frontmatter bears no loss. A text whose loss alone is above the limit has a container of its own.
     """
     sizes = slots.select("slot_id", "capacity_tokens").where("slot_id is not null and capacity_tokens > 0").distinct().limit(params.slots + 1).collect()
     if len(sizes) > params.slots:
@@ -129,7 +132,7 @@ def pack_documents(documents: DataFrame, slots: DataFrame, params: PackParams =
         return spark.createDataFrame([], f"slot_id {slot_type}, container string, doc_id {kind}, part int, first_token bigint, tokens bigint, loss_tokens bigint")
     limits = {(s.slot_id): (int(s.capacity_tokens), max(1, int(s.capacity_tokens) // params.tokens_per_segment), max(1, int(s.capacity_tokens * params.loss_share))) for s in sizes}
     measured = materialize(token_sizes(documents, doc_id, text, params), "token-sizes")
-    every = F.explode(F.array(*(F.struct(F.lit(k).cast(slot_type).alias("slot_id"), F.lit(min(c, loss)).cast("bigint").alias("most")) for k, (c, _, loss) in limits.items())))
+    every = F.explode(F.array(*(F.struct(F.lit(k).cast(slot_type).alias("slot_id"), F.lit(c).cast("bigint").alias("most")) for k, (c, _, _) in limits.items())))
     parts = measured.select("*", every.alias("s")).select("doc_id", "tokens", "masked", "s.slot_id", "s.most")
     cut = parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("tokens") - 1) / F.col("most")).cast("int")))).withColumn("first_token", F.col("part") * F.col("most"))
     size = F.least(F.col("most"), F.col("tokens") - F.col("first_token"))
@@ -156,17 +159,18 @@ def pack_documents(documents: DataFrame, slots: DataFrame, params: PackParams =
             "size": size, "loss_tokens": frame["loss_tokens"], "again": filled[bins] < params.well_filled * capacity,
         })
 
-    before = None
-    for round_ in range(ROUNDS):
+    before, round_ = None, -1
+    while True:
+        round_ += 1
         counts = {r.slot_id: r.n for r in rest.groupBy("slot_id").agg(F.count("*").alias("n")).collect()}
         n = max(counts.values(), default=0)
         if not n:
             break
         groups = max(1, math.ceil(n / params.group_rows))
         grouped = rest.withColumn("group", F.pmod(F.xxhash64("doc_id", "part", F.lit(round_)), F.lit(groups)))
-        packed = grouped.repartition(max(12, len(sizes) * groups), "slot_id", "group").groupBy("slot_id", "group").applyInPandas(filler(f"r{round_}"), out_type)
+        packed = grouped.repartition(min(max(12, len(sizes) * groups), params.tasks), "slot_id", "group").groupBy("slot_id", "group").applyInPandas(filler(f"r{round_}"), out_type)
         packed = materialize(packed, "packed")
-        last = groups == 1 or (before is not None and n > 0.9 * before) or round_ == ROUNDS - 1
+        last = groups == 1 or (before is not None and n > 0.9 * before)
         done = done.unionByName((packed if last else packed.where(~F.col("again"))).drop("again"))
         if last:
             break
@@ -179,3 +183,14 @@ def fill_report(packed: DataFrame, slots: DataFrame) -> DataFrame:
     capacity = slots.select("slot_id", F.col("capacity_tokens").alias("capacity")).distinct()
     total = packed.groupBy("slot_id").agg(F.countDistinct("container").alias("containers"), F.sum("tokens").alias("tokens")).join(capacity, "slot_id")
     return total.select("slot_id", "containers", "tokens", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 6).alias("filled"), F.ceil(F.col("tokens") / F.col("capacity")).alias("fewest"))
+
+
+def limit_report(packed: DataFrame, slots: DataFrame, params: PackParams = PackParams()) -> DataFrame:
+    """Per container size: containers, and how many of them are full by each limit: ``by_tokens`` (``well_filled``), ``by_segments``, ``by_loss`` (``well_filled``)."""
+    capacity = slots.select("slot_id", F.col("capacity_tokens").alias("capacity")).distinct()
+    per = packed.groupBy("slot_id", "container").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("segments"), F.sum("loss_tokens").alias("loss")).join(F.broadcast(capacity), "slot_id")
+    segments, loss = F.greatest(F.lit(1), F.floor(F.col("capacity") / params.tokens_per_segment)), F.greatest(F.lit(1), F.floor(F.col("capacity") * params.loss_share))
+    n = lambda c, name: F.count_if(c).alias(name)
+    return per.groupBy("slot_id").agg(
+        F.count("*").alias("containers"), n(F.col("tokens") >= params.well_filled * F.col("capacity"), "by_tokens"), n(F.col("segments") >= segments, "by_segments"), n(F.col("loss") >= params.well_filled * loss, "by_loss")
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from inkwell.llm.leakage import leaked_items
 from inkwell.llm.names import same_entities, same_pairs
 from inkwell.llm.neighbors import similar_pairs, similar_vectors
-from inkwell.llm.packing import fill_report, pack_documents
+from inkwell.llm.packing import PackParams, fill_report, limit_report, pack_documents
 from inkwell.llm.quality import COMMON, text_measures, text_quality
 from inkwell.llm.splitting import oversized, split_oversized
 from inkwell.session import table
@@ -23,6 +23,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def p1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of each vector without a least cosine, all rows against all."""
+    return similar_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", k=10)
+
+
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(table(spark, sf_dir, "kb_document"), table(spark, sf_dir, "chunk"))
 
@@ -47,6 +52,16 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_report(p6_pack(spark, sf_dir), table(spark, sf_dir, "context_slot"))
 
 
+#: Instruction data: few texts in a container, and a margin of tokens that bear no loss.
+INSTRUCTIONS = PackParams(tokens_per_segment=256, loss_share=0.95)
+
+
+def p6_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packing under limits of which each one binds in many containers."""
+    slots = table(spark, sf_dir, "context_slot")
+    return limit_report(pack_documents(table(spark, sf_dir, "documents"), slots, INSTRUCTIONS), slots, INSTRUCTIONS)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
 
@@ -65,12 +80,14 @@ def p8_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p1_nearest": p1_nearest,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p5_found": p5_found,
     "p5_clusters": p5_clusters,
     "p6_pack": p6_pack,
     "p6_fill": p6_fill,
+    "p6_limits": p6_limits,
     "p7_found": p7_found,
     "p8_found": p8_found,
     "p8_quality": p8_quality,

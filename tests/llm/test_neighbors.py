@@ -66,3 +66,29 @@ def test_tree_visits_every_leaf_within_reach():
     rows, leaves = tree.visits(z, np.full(len(z), 1e9))
     assert len(rows) == 500 * 8 and set(tree.home(z)) == set(range(8, 16))
     assert tree.visits(z, np.full(len(z), -1.0))[1].tolist() == tree.home(z).tolist()
+
+
+DELIVERED = "/root/testdata/sf0.01/embeddings.parquet"
+
+
+@pytest.mark.skipif(not __import__("os").path.exists(DELIVERED), reason="no delivered vectors")
+def test_delivered_vectors_through_a_tree(spark):
+    """The ten nearest without a least cosine, of every id divisible by 20 against all rows, where the tree has several levels."""
+    rows = spark.read.parquet(DELIVERED).select("vec_id", "embedding")
+    params = NeighborParams(leaf_rows=64)
+    got = {(r.id, r.other) for r in similar_vectors(rows, "vec_id", "embedding", 10, params=params).collect() if int(r.id) % 20 == 0}
+    table = rows.toPandas().drop_duplicates("vec_id").set_index("vec_id").sort_index()
+    x = np.stack(table.embedding.to_numpy()).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids, want = table.index.to_numpy(), set()
+    for n in np.flatnonzero(ids % 20 == 0):
+        near = x @ x[n]
+        near[n] = -2
+        want |= {(str(ids[n]), str(ids[m])) for m in np.argsort(-near, kind="stable")[:10]}
+    assert len(ids) > 4 * params.leaf_rows and len(got & want) >= 0.9 * len(want)
+
+
+def test_ties_go_by_id(spark):
+    rows = [(k, v) for k, v in (("q", [1.0, 0.0, 0.0]), ("b", [1.0, 1.0, 0.0]), ("a", [1.0, -1.0, 0.0]), ("d", [1.0, 0.0, 1.0]), ("c", [1.0, 0.0, -1.0]))]
+    got = similar_vectors(spark.createDataFrame(rows, "id string, embedding array<float>"), "id", "embedding", 2, 0.6, 3, SMALL).where("id = 'q'").orderBy("rank").collect()
+    assert [r.other for r in got] == ["a", "b"]
