@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import time
 
+from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from inkwell.config import Settings
 from inkwell.functions import text as T
 from inkwell.operators import chunking, entities, graph, reconcile
 from inkwell.operators.reconcile import Report
-from inkwell.session import materialize
+from inkwell.session import materialize, scratch
 from inkwell.sources import corpus, providers
 from inkwell.store import Store
 
@@ -23,9 +25,8 @@ class Engine:
         self.embedder, self.extractor = embedder or settings.embedder(), extractor or settings.extractor()
 
     def notes(self) -> DataFrame:
-        from pathlib import Path
-
-        return corpus.parse_notes(corpus.read_corpus(self.spark, str(Path(self.settings.corpus).expanduser())))
+        where = self.settings.corpus
+        return corpus.parse_notes(corpus.read_corpus(self.spark, where if "://" in where else os.path.expanduser(where)))
 
     def schema(self) -> int:
         """Empty tables where there are none."""
@@ -52,16 +53,35 @@ class Engine:
         self.store.commit(new)
         return Report("structural", counts, shown)
 
-    def sync_embeddings(self, notes: DataFrame | None = None, force: bool = False) -> Report:
-        """Chunks and vectors of the documents whose text changed; the others keep theirs."""
+    def sync_embeddings(self, notes: DataFrame | None = None, force: bool = False, slice_documents: int = 5000) -> Report:
+        """Chunks and vectors of the documents whose text changed, in slices that are each committed; the others keep theirs.
+
+        A slice for which the model fails is reported and keeps its old chunks and marks, so it is tried again; the others are not lost.
+        """
+        notes = notes if notes is not None else self.notes()
+        pending = materialize(reconcile.stale(self.store.read("document"), "chunked_hash", force).select("path"), "pending")
+        total, written, failed = pending.count(), 0, []
+        slices = pending.withColumn("slice", F.pmod(F.xxhash64("path"), F.lit(max(1, -(-total // slice_documents)))))
+        slices = materialize(slices, "slices") if total else slices
+        for n in range(max(1, -(-total // slice_documents)) if total else 0):
+            part = slices.where(F.col("slice") == n).select("path")
+            try:
+                with scratch(self.spark):
+                    written += self._embed(notes, part)
+            except PythonException as why:
+                if "EmbeddingError" not in str(why) and "Refused" not in str(why):
+                    raise
+                failed.append(f"slice {n}, {part.count()} documents: {[x for x in str(why).splitlines() if x.strip()][-1][:200]}")
+        return Report("embed", {"pending documents": total, "chunks written": written, "failed slices": len(failed), "chunks": self.store.read("chunk").count()}, failed)
+
+    def _embed(self, notes: DataFrame, part: DataFrame) -> int:
         document, chunk = self.store.read("document"), self.store.read("chunk")
-        pending = materialize(reconcile.stale(document, "chunked_hash", force).select("path"), "pending")
-        todo = (notes if notes is not None else self.notes()).join(pending, "path", "left_semi")
+        todo = notes.join(part, "path", "left_semi")
         made = chunking.chunk_documents(todo, self.settings.chunk_words, self.settings.chunk_overlap).withColumn("input", T.embed_text("breadcrumb", "text"))
         fresh = materialize(providers.embedded(made, self.embedder, "input", batch=self.settings.embed_batch), "fresh-chunks")
         columns = [c.split()[0] for c in schemas.CHUNK.split(", ")]
-        self.store.commit({"chunk": reconcile.replace_chunks(chunk.select(*columns), fresh.select(*columns), pending, document), "document": reconcile.marked(document, pending, "chunked_hash")})
-        return Report("embed", {"pending documents": pending.count(), "chunks written": fresh.count(), "chunks": self.store.read("chunk").count()})
+        self.store.commit({"chunk": reconcile.replace_chunks(chunk.select(*columns), fresh.select(*columns), part, document), "document": reconcile.marked(document, part, "chunked_hash")})
+        return fresh.count()
 
     def sync_semantic(self, notes: DataFrame | None = None, limit: int | None = None, force: bool = False, extract_words: int = 1500, max_seconds: float | None = None, slice_documents: int = 500) -> Report:
         """Entities and relations of the documents whose text changed, in slices that are each committed; stops between slices when time is up.
@@ -78,7 +98,8 @@ class Engine:
             part = materialize(left.orderBy("path").limit(slice_documents).select("path"), "slice")
             last = part.agg(F.max("path")).first()[0]
             done += part.count()
-            made, errors = self._extract(notes.join(part, "path", "left_semi"), part, extract_words)
+            with scratch(self.spark):
+                made, errors = self._extract(notes.join(part, "path", "left_semi"), part, extract_words)
             failed += errors
             for k, v in made.items():
                 counts[k] += v

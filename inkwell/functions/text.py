@@ -123,12 +123,19 @@ def embed_text(breadcrumb: Column | str, text: Column | str) -> Column:
 
 
 def word_windows(ws: Column, size: int, overlap: int = 0) -> Column:
-    """Windows of ``size`` words, ``overlap`` shared; the last is the first that reaches the end. None of no words."""
+    """Windows of ``size`` words, ``overlap`` shared; the last is the first that reaches the end. None of no words.
+
+    The words are bound once, as the only element of an array; written out inside the lambda they would be parted anew for every window.
+    """
     step = max(1, size - overlap)
-    n = F.size(ws)
-    count = F.when(n <= size, F.lit(1)).otherwise(F.ceil((n - size) / F.lit(step)) + 1)
-    starts = F.sequence(F.lit(0), ((count - 1) * step).cast("int"), F.lit(step))
-    return F.when(n > 0, F.transform(starts, lambda s: F.array_join(F.slice(ws, s + 1, size), " "))).otherwise(F.array().cast("array<string>"))
+
+    def cut(w: Column) -> Column:
+        n = F.size(w)
+        count = F.when(n <= size, F.lit(1)).otherwise(F.ceil((n - size) / F.lit(step)) + 1)
+        starts = F.sequence(F.lit(0), ((count - 1) * step).cast("int"), F.lit(step))
+        return F.when(n > 0, F.transform(starts, lambda s: F.array_join(F.slice(w, s + 1, size), " "))).otherwise(F.array().cast("array<string>"))
+
+    return F.transform(F.array(ws), cut)[0]
 
 
 def lenient_json(raw: Column | str, schema: str, required: str) -> Column:
@@ -136,9 +143,9 @@ def lenient_json(raw: Column | str, schema: str, required: str) -> Column:
     text = trim(raw)
     fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
     candidate = F.when(fenced != "", trim(fenced)).otherwise(text)
-    parse = lambda t: F.from_json(t, schema)
-    usable = lambda t: F.when(parse(t).getField(required).isNotNull(), parse(t))
-    return F.coalesce(usable(candidate), usable(F.regexp_extract(candidate, r"(?s)\{.*\}", 0)))
+    ways = F.transform(F.array(candidate), lambda c: F.array(c, F.regexp_extract(c, r"(?s)\{.*\}", 0)))[0]  # as it is, and what stands in braces
+    parsed = F.transform(ways, lambda t: F.from_json(t, schema))
+    return F.get(F.filter(parsed, lambda x: x.getField(required).isNotNull()), F.lit(0))
 
 
 def coerced(c: Column | str, vocabulary, default: str) -> Column:

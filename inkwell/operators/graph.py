@@ -52,12 +52,14 @@ def entities_in_documents(document: DataFrame, tagged: DataFrame, links_to: Data
 
 
 def nearest_chunks(chunk: DataFrame, probe: list[float], k: int, dims: int, mode: str = "normalized") -> DataFrame:
-    """The ``k`` chunks nearest to a vector: exact, one pass, each task keeps its best ``k``."""
+    """The ``k`` chunks nearest to a vector: exact, one pass. Only ids and scores move before the best are known; rows that repeat an id count once."""
     q = F.array(*(F.lit(float(x)) for x in probe))
     usable = chunk.where(V.usable(F.col("embedding"), dims))
     cosine = V.dot(F.col("embedding"), q) / (V.norm(F.col("embedding")) * V.norm(q))
-    scored = usable.select("id", "doc_path", "breadcrumb", "text", F.round(V.score(cosine, mode), 4).alias("score"))
-    return scored.orderBy(F.desc("score"), "id").limit(k)
+    scored = usable.select("id", F.round(V.score(cosine, mode), 4).alias("score")).groupBy("id").agg(F.max("score").alias("score"))
+    best = F.broadcast(scored.orderBy(F.desc("score"), "id").limit(k))  # k rows
+    rows = usable.select("id", F.struct("doc_path", "text", "breadcrumb").alias("r")).join(best, "id").groupBy("id", "score").agg(F.max("r").alias("r"))
+    return rows.select("id", "r.doc_path", "r.breadcrumb", "r.text", "score").orderBy(F.desc("score"), "id")
 
 
 def semantic_search(chunk: DataFrame, probe: list[float], limit: int = 8, dims: int = 64, mode: str = "normalized") -> DataFrame:
@@ -82,7 +84,7 @@ def similar_documents(document: DataFrame, chunk: DataFrame, path: str, limit: i
 
 
 def graph_overview(document: DataFrame, chunk: DataFrame, tagged: DataFrame, entity: DataFrame, links_to: DataFrame, mentions: DataFrame, relates_to: DataFrame) -> DataFrame:
-    """One row of counts; each comes from a scan of the columns it needs."""
+    """One row of counts. Tables must have one row a key; of ``chunk`` only whether it has an ``embedding`` is asked."""
     n = lambda df, name, what="*": df.agg(F.count(what).alias(name))
     parts = [
         document.agg(F.count_if(not_stub()).alias("documents"), F.count_if(~not_stub()).alias("stubs")), chunk.agg(F.count("*").alias("chunks"), F.count("embedding").alias("embedded_chunks")),
@@ -111,14 +113,15 @@ def find_related_entities(entity: DataFrame, relates_to: DataFrame, mentions: Da
     """Entities around one, by name or alias: ``entity``, ``type``, ``hops``, ``via``, up to four ``documents`` that mention it.
 
     Trails of up to ``max_hops`` relations in either direction that use no relation twice; they may come back to a node. Trails that
-    agree in end, length and relation types are one row. Trails are joined hop by hop and pruned of doubles each time.
+    agree in end, length and relation types are one row. Trails are joined hop by hop; of those that have used the same relations, with the same types, and stand at the
+    same node, one is kept, since they go on alike.
     """
     both = _both_ways(relates_to)
     trail = _named(entity, name, aliases=True).select(F.col("key").alias("at"), F.array().cast("array<bigint>").alias("edges"), F.array().cast("array<string>").alias("via"))
     reached = None
     for _ in range(clamped(max_hops, 1, 4)):
-        step = trail.join(both, trail["at"] == both["from"]).where(~F.array_contains("edges", F.col("edge")))
-        trail = step.select(F.col("to").alias("at"), F.concat("edges", F.array("edge")).alias("edges"), F.concat("via", F.array("type")).alias("via"))
+        step = salted_join(trail, both.withColumnRenamed("from", "at"), ["at"]).where(~F.array_contains("edges", F.col("edge")))
+        trail = step.select(F.col("to").alias("at"), F.array_sort(F.concat("edges", F.array("edge"))).alias("edges"), F.concat("via", F.array("type")).alias("via")).distinct()
         ends = trail.select("at", "via").distinct()
         reached = ends if reached is None else reached.unionByName(ends)
     found = reached.join(entity.select(F.col("key").alias("at"), "name", "type"), "at")

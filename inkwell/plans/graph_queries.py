@@ -46,7 +46,7 @@ SELECT (SELECT count(*) FROM g_document WHERE NOT coalesce(stub, FALSE)) AS docu
   (SELECT count(*) FROM g_entity) AS entities, (SELECT count(*) FROM g_links) AS links_to, (SELECT count(*) FROM g_tagged) AS tagged,
   (SELECT count(*) FROM g_mentions) AS mentions, (SELECT count(*) FROM g_relates) AS relates_to""")
 def graph_overview(spark: SparkSession, d: str) -> DataFrame:
-    return graph.graph_overview(N.document(spark, d), N.chunk(spark, d), N.tagged(spark, d), N.entity(spark, d), N.links_to(spark, d), N.mentions(spark, d), N.relates_to(spark, d))
+    return graph.graph_overview(N.document(spark, d), N.chunk_flags(spark, d), N.tagged(spark, d), N.entity(spark, d).drop("embedding"), N.links_to(spark, d), N.mentions(spark, d), N.relates_to(spark, d))
 
 
 @query("""
@@ -65,7 +65,8 @@ _COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 
 
 def _first_usable(spark: SparkSession, d: str) -> list:
-    return N.chunk(spark, d).where(V.usable(F.col("embedding"), 64)).orderBy("id").limit(1).collect()
+    usable = table(spark, d, "chunk").where(F.col("id").isNotNull() & V.usable(F.col("embedding"), 64))
+    return usable.select("id", "doc_path", "embedding").orderBy("id", F.desc("doc_path"), F.desc("embedding")).limit(1).collect()
 
 
 @query(f"""
@@ -76,7 +77,7 @@ ORDER BY score DESC, a.id LIMIT 8""")
 def semantic_search(spark: SparkSession, d: str) -> DataFrame:
     first = _first_usable(spark, d)
     probe = first[0].embedding if first else [1.0] * 64
-    return graph.semantic_search(N.chunk(spark, d), probe)
+    return graph.semantic_search(table(spark, d, "chunk").where("id is not null"), probe)
 
 
 @query(f"""
@@ -88,7 +89,7 @@ SELECT path, title, round(s, 4) AS score FROM (
 JOIN g_document USING (path) WHERE path <> (SELECT doc_path FROM g_chunk WHERE {_USABLE} ORDER BY id LIMIT 1) ORDER BY score DESC, path LIMIT 8""")
 def similar_documents(spark: SparkSession, d: str) -> DataFrame:
     first = _first_usable(spark, d)
-    return graph.similar_documents(N.document(spark, d), N.chunk(spark, d), first[0].doc_path if first else "")
+    return graph.similar_documents(N.document(spark, d), N.chunk(spark, d, ["doc_path", "embedding"]), first[0].doc_path if first else "")
 
 
 _BOTH = "(SELECT row_number() OVER () AS e, source, type, target FROM g_relates)"
@@ -108,7 +109,19 @@ def find_related_entities(spark: SparkSession, d: str) -> DataFrame:
     return graph.find_related_entities(N.entity(spark, d), N.relates_to(spark, d), N.mentions(spark, d), N.document(spark, d), HUB.lower())
 
 
-@query()
+@query(f"""
+, both_ways AS (SELECT DISTINCT source AS f, type, target AS t FROM g_relates UNION SELECT DISTINCT target, type, source FROM g_relates),
+starts AS (SELECT key FROM g_entity WHERE lower(name) = lower('{HUB}')), goals AS (SELECT key FROM g_entity WHERE lower(name) = lower('{OTHER}')),
+walk AS (
+  SELECT key AS node, [key] AS keys, []::VARCHAR[] AS types, 0 AS hops FROM starts WHERE key NOT IN (SELECT key FROM goals)
+  UNION ALL
+  SELECT * FROM (
+    SELECT b.t AS node, list_append(w.keys, b.t) AS keys, list_append(w.types, b.type) AS types, w.hops + 1 AS hops
+    FROM walk w JOIN both_ways b ON b.f = w.node WHERE w.hops < 6 AND NOT list_contains(w.keys, b.t) AND w.node NOT IN (SELECT key FROM goals)
+    QUALIFY row_number() OVER (PARTITION BY b.t ORDER BY list_append(w.keys, b.t), list_append(w.types, b.type)) = 1)),
+best AS (SELECT keys, types, hops FROM walk WHERE node IN (SELECT key FROM goals) ORDER BY hops, keys, types LIMIT 1)
+SELECT list(name ORDER BY n) AS nodes, any_value(types) AS relations, any_value(hops)::INT AS hops
+FROM (SELECT types, hops, unnest(keys) AS key, generate_subscripts(keys, 1) AS n FROM best) JOIN (SELECT key, name FROM g_entity) USING (key) GROUP BY types""")
 def shortest_path(spark: SparkSession, d: str) -> DataFrame:
     return graph.shortest_path(N.entity(spark, d), N.relates_to(spark, d), HUB, OTHER)
 
@@ -248,12 +261,17 @@ def extract_json(spark: SparkSession, d: str) -> DataFrame:
     return r.select("path", "r.source", T.coerced("r.type", schemas.RELATION_TYPES, schemas.DEFAULT_RELATION_TYPE).alias("type"), "r.target", T.confidence("r.confidence").alias("confidence")).distinct()
 
 
-@query("SELECT path, key, count FROM g_mentions QUALIFY row_number() OVER (PARTITION BY path ORDER BY count DESC, key) <= 20")
+@query(f"""
+SELECT path, key, count FROM (
+  SELECT path, {_SLUG.replace("name", "key")} AS key, count(*) AS count, min(n) AS first FROM (
+    SELECT path, key, row_number() OVER (PARTITION BY path ORDER BY key, count) AS n FROM mentions) WHERE path IS NOT NULL AND {_SLUG.replace("name", "key")} <> '' GROUP BY ALL)
+QUALIFY row_number() OVER (PARTITION BY path ORDER BY count DESC, first) <= 20""")
 def top_entities_per_doc(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("path").orderBy(F.desc("count"), "key")
-    return N.mentions(spark, d).withColumn("n", F.row_number().over(order)).where("n <= 20").drop("n")
+    """The delivered mentions of a document as the entities of one reply of a model."""
+    none = F.array().cast("array<string>")
+    named = table(spark, d, "mentions").where("path is not null").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("key", "count"))).alias("e"))
+    reply = F.struct(F.transform("e", lambda x: F.struct(x["key"].alias("name"), F.lit("tool").alias("type"), none.alias("aliases"))).alias("entities"))
+    return entities.document_entities(named.select("path", F.lit(0).alias("window"), reply.alias("reply"))).select("path", "key", "count")
 
 
 _TO = "SELECT path, key, min(key) OVER (PARTITION BY path, name) AS resolved FROM g_mentions JOIN (SELECT key, lower(name) AS name FROM g_entity) USING (key)"
@@ -284,7 +302,9 @@ def entity_dedup(spark: SparkSession, d: str) -> DataFrame:
     pending = reconcile.stale(N.document(spark, d), "extracted_hash").select("path")
     entity, mentions = N.entity(spark, d).select("key", "type", "embedding"), N.mentions(spark, d)
     fresh = mentions.join(pending, "path", "left_semi").join(entity, "key")
-    order = pending.select("path", F.hash("path").cast("bigint").alias("h")).select("path", (F.col("h") + 2**31).alias("seq"))
+    from pyspark.sql import Window
+
+    order = pending.select("path", F.row_number().over(Window.orderBy("path")).cast("bigint").alias("seq"))  # paths only; the fold below is in this order by definition
     known = mentions.join(pending, "path", "left_anti").select("key").distinct()
     return entities.greedy_dedup(fresh.join(order, "path").select("seq", "path", "key", "type", "embedding"), entity.join(known, "key", "left_semi")).drop("seq")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkwell import schemas
 from inkwell.functions import text as T
+from inkwell.operators.reconcile import tag_edges
 from inkwell.session import table
 
 _DOC = ["scanned_at", "chunked_hash", "extracted_hash", "content_hash", "title", "category", "subcategory", "created", "updated", "word_count", "stub"]
@@ -27,13 +28,21 @@ def chunk(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) ->
     return latest(table(spark, sf_dir, "chunk"), "id", columns or _CHUNK)
 
 
+def chunk_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id`` and an ``embedding`` that is true or null: what counting asks for, without texts and vectors in the shuffle."""
+    rows = table(spark, sf_dir, "chunk").where(F.col("id").isNotNull())
+    return rows.groupBy("id").agg(F.max(F.when(F.col("embedding").isNotNull(), True)).alias("embedding"))
+
+
 def entity(spark: SparkSession, sf_dir: str) -> DataFrame:
     typed = table(spark, sf_dir, "entity").withColumn("type", T.coerced("type", schemas.ENTITY_TYPES, schemas.DEFAULT_ENTITY_TYPE))
     return latest(typed, "key", _ENTITY)
 
 
 def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "tagged").select("path", T.normal_tag("tag").alias("tag")).where("path is not null and tag <> ''").distinct()
+    """Distinct edges to normal tags, through ``tag_edges``: every delivered row is a note with one tag."""
+    notes = table(spark, sf_dir, "tagged").where("path is not null").select("path", T.tag_list(F.array("tag"), F.lit(None).cast("string")).alias("tags"))
+    return tag_edges(notes)
 
 
 def links_to(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,24 +130,15 @@ class CapitalsExtractor:
 
 
 INSTRUCTIONS = f"""\
-You extract a knowledge graph from personal technical notes.
-
-Return ONLY a JSON object, no prose and no markdown fence, of the shape:
-{{
-  "entities": [{{"name": "...", "type": "{"|".join(schemas.ENTITY_TYPES)}", "aliases": ["..."]}}],
-  "relations": [{{"source": "...", "target": "...", "type": "<one of the allowed types>", "confidence": 0.0-1.0}}]
-}}
-
-Rules:
-- Extract at most 12 entities: the ones this note is genuinely ABOUT, that someone would search for by name. Fewer is better than more.
-- Do NOT extract generic technology nouns (OS, VM, API, database, server, container, model) unless the note is specifically about that thing.
-- Do NOT extract the knowledge base, the note itself, or note-taking tools.
-- Use the most canonical name you can (e.g. "Neo4j", not "the neo4j database").
-- `source` and `target` in relations MUST exactly match a `name` in entities.
-- `type` MUST be exactly one of: {", ".join(schemas.RELATION_TYPES)}.
-- Prefer a specific relation type over "related_to".
-- confidence reflects how explicitly the note states the relation.
-- If the note contains nothing worth extracting, return empty lists."""
+Read the note and say which things it is about and how they are connected.
+
+Answer with one JSON object and nothing else:
+- "entities": a list of objects with "name", "type" (one of {", ".join(schemas.ENTITY_TYPES)}) and "aliases", other spellings that occur in the note;
+- "relations": a list of objects with "source", "target", "type" (one of {", ".join(schemas.RELATION_TYPES)}) and "confidence", from 0 to 1.
+
+Name a dozen entities at most, fewer where fewer matter: what a reader would look up. Leave out the note itself, the collection it is in, and common nouns of
+computing that are not its subject. Use the usual full name of each. Both ends of a relation must be names from your list. Take the most exact type of relation
+that the text supports, and be more confident the more plainly it is said. If there is nothing to name, give two empty lists."""
 
 
 def _object(required: list[str], **properties: dict) -> dict:

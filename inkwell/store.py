@@ -7,10 +7,16 @@ whole state or the one before, never a mixture; tables that did not change are n
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from inkwell import schemas
+from inkwell.operators.reconcile import duplicate_keys
+
+
+class DuplicateKeys(ValueError):
+    """A table that would break its promise of one row a key."""
 
 
 class Store:
@@ -51,7 +57,11 @@ class Store:
         return {name: self.read(name) for name in self.manifest()}
 
     def commit(self, changed: dict[str, DataFrame]) -> int:
-        """Writes the changed tables, sorted by key within their files, and makes them the current state."""
+        """Writes the changed tables, sorted by key within their files, and makes them the current state.
+
+        Keys are checked on what was written; a table with a repeated one fails the commit, and the state stays as it was. The manifest is written aside and then
+        renamed, so no reader sees half of it; of two writers that commit at once the second fails.
+        """
         version = (self.versions() or [0])[-1] + 1
         manifest = self.manifest()
         for name, df in changed.items():
@@ -59,10 +69,18 @@ class Store:
             where = f"v{version:08d}/{name}"
             df.select(*columns).repartition(*schemas.KEYS[name][:1]).sortWithinPartitions(*schemas.KEYS[name]).write.mode("overwrite").parquet(f"{self.root}/{where}")
             manifest[name] = where
+            key = schemas.KEYS[name]
+            doubles = duplicate_keys(self.spark.read.schema(schemas.TABLES[name]).parquet(f"{self.root}/{where}").select(*key), key).limit(3).collect()
+            if doubles:
+                raise DuplicateKeys(f"{name}: {', '.join(str(tuple(r)[:-1]) for r in doubles)}")
         fs, path = self._path(f"manifest-{version:08d}.json")
-        stream = fs.create(path, False)
+        _, aside = self._path(f".manifest-{version:08d}-{uuid.uuid4().hex}")
+        stream = fs.create(aside, False)
         stream.write(bytearray(json.dumps(manifest).encode()))
         stream.close()
+        if fs.exists(path) or not fs.rename(aside, path):
+            fs.delete(aside, False)
+            raise RuntimeError(f"version {version} was committed by another writer")
         return version
 
     def forget(self, names: list[str]) -> int:

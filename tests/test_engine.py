@@ -81,7 +81,8 @@ def test_command_line(spark, vault, tmp_path, monkeypatch, capsys):
 def test_stream_keeps_chunks_current(spark, tmp_path):
     source, sink, mark = (f"file://{tmp_path}/{n}" for n in ("in", "out", "mark"))
     schema = "path string, title string, body string, scanned_at timestamp_ntz"
-    put = lambda *rows: spark.createDataFrame([(*r, datetime(2026, 1, n)) for n, r in enumerate(rows, 1)], schema).coalesce(1).write.mode("append").parquet(source)
+    days = iter(range(1, 29))  # every delivery is scanned later than those before
+    put = lambda *rows: spark.createDataFrame([(*r, datetime(2026, 1, next(days))) for r in rows], schema).coalesce(1).write.mode("append").parquet(source)
     put(("a", "A", "one"), ("a", "A", "two"), ("b", "B", None), (None, "x", "y"))
     run = lambda: run_available(spark, source, spark.read.parquet(source).schema, sink, mark)
     run()
@@ -171,3 +172,77 @@ def test_bad_request_is_not_repeated():
         providers.HttpExtractor(f"http://127.0.0.1:{server.server_port}", "m", timeout=10).extract("note")
     server.shutdown()
     assert len(calls) == len(providers.FORMATS)
+
+
+def test_late_deliveries_and_deletions_of_a_stream(spark, tmp_path):
+    from inkwell.streaming.incremental import compact, merge_batch
+
+    schema = "path string, title string, body string, scanned_at timestamp_ntz, deleted_at timestamp_ntz"
+    day = lambda n: datetime(2026, 1, n)
+    sink, state = str(tmp_path / "sink"), lambda where: {r.path: [c.text for c in r.chunks] for r in current(spark, where).collect()}
+    batch = lambda n, *rows: merge_batch(spark.createDataFrame(list(rows), schema), n, sink)
+    assert state(sink) == {}
+    batch(0, ("a", "A", "new", day(9), None), ("b", "B", "stays", day(1), None), ("c", "C", "goes", day(1), None))
+    batch(1, ("a", "A", "old", day(2), None), ("c", "C", "goes", day(1), day(5)))
+    assert state(sink) == {"a": ["new"], "b": ["stays"]}
+    batch(2, ("c", "C", "late", day(3), None), ("b", "B", "again", day(8), None))
+    batch(2, ("c", "C", "late", day(3), None), ("b", "B", "again", day(8), None))
+    assert state(sink) == {"a": ["new"], "b": ["again"]}
+    compact(spark, sink, str(tmp_path / "small"))
+    assert state(str(tmp_path / "small")) == state(sink)
+    batch(3, ("c", "C", "back", day(11), None))
+    assert state(sink) == {"a": ["new"], "b": ["again"], "c": ["back"]}
+
+
+def test_commit_keeps_its_promises(spark, tmp_path):
+    import pytest
+
+    from inkwell.store import DuplicateKeys, Store
+
+    store = Store(spark, f"file://{tmp_path}/store")
+    rows = spark.createDataFrame([("a", "x"), ("b", "x")], "path string, tag string")
+    assert store.commit({"tagged": rows}) == 1
+    with pytest.raises(DuplicateKeys, match="'a', 'x'"):
+        store.commit({"tagged": rows.unionByName(rows.where("path = 'a'"))})
+    assert store.versions() == [1] and store.read("tagged").count() == 2
+
+
+def test_embedding_failures_cost_one_slice(spark, tmp_path):
+    from dataclasses import dataclass
+
+    from inkwell.sources.providers import EmbeddingError, HashEmbedder
+
+    @dataclass(frozen=True)
+    class Fragile:
+        dims: int = 8
+
+        def embed(self, texts):
+            if any("broken" in t for t in texts):
+                raise EmbeddingError("no")
+            return HashEmbedder(self.dims).embed(texts)
+
+    corpus = tmp_path / "notes"
+    corpus.mkdir()
+    for n in range(12):
+        (corpus / f"n{n}.md").write_text("# Title\n" + ("broken" if n == 3 else "words") + f" number {n}")
+    engine = Engine(spark, Settings(corpus=str(corpus), store=f"file://{tmp_path}/store", embed_dims=8), embedder=Fragile())
+    engine.schema()
+    engine.sync_structural()
+    report = engine.sync_embeddings(slice_documents=3)
+    assert report.counts["failed slices"] == 1 and 0 < report.counts["chunks written"] < 12
+    engine.embedder = HashEmbedder(8)
+    report = engine.sync_embeddings()
+    assert report.counts["failed slices"] == 0 and report.counts["chunks"] == 12
+
+
+def test_corpus_by_scheme(spark, tmp_path):
+    from inkwell.sources.corpus import parse_notes, read_corpus
+
+    (tmp_path / "deep" / ".hidden").mkdir(parents=True)
+    for where in ("a.md", "deep/b.md", "index.md", "deep/.hidden/c.md", "deep/d.txt"):
+        (tmp_path / where).write_bytes(b"# T\r\ntext \xff")
+    got = {r.path: r for r in read_corpus(spark, f"file://{tmp_path}").collect()}
+    plain = {r.path: r for r in read_corpus(spark, str(tmp_path)).collect()}
+    assert set(got) == set(plain) == {"a.md", "deep/b.md"}
+    assert all(got[p].text == plain[p].text and got[p].mtime[:19] == plain[p].mtime[:19] for p in got)
+    assert parse_notes(read_corpus(spark, f"file://{tmp_path}")).count() == 2
