@@ -11,6 +11,7 @@ from inkwell.llm.neighbors import similar_pairs, similar_vectors
 from inkwell.llm.packing import PackParams, fill_report, limit_report, pack_documents
 from inkwell.llm.quality import COMMON, text_measures, text_quality
 from inkwell.llm.splitting import oversized, split_oversized
+from inkwell.plans.note_tables import SPACE
 from inkwell.session import table
 
 
@@ -94,6 +95,9 @@ QUERIES = {
     "p8_measures": p8_measures,
 }
 
+_LINE = "ls[n + 1]"
+_BARE = rf"regexp_replace({_LINE}, '^{SPACE}+', '')"
+_COUNT = lambda c: f"len(list_filter(regexp_split_to_array({c}, '{SPACE}+'), lambda w: w <> ''))"
 _USABLE = "len(embedding) = 64 AND list_count(embedding) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
 _WORDS = r"list_filter(regexp_split_to_array(text, '[ \t\n\x0b\f\r]+'), lambda w: w <> '')"
 _CHARS = r"nullif(length(regexp_replace(text, '[ \t\n\x0b\f\r]', '', 'g')), 0)"
@@ -108,6 +112,20 @@ near AS (
   SELECT a.item, a.id AS x, b.id AS y, list_cosine_similarity(a.e::DOUBLE[], b.e::DOUBLE[]) AS c FROM v a JOIN v b ON a.item = b.item AND a.id <> b.id
   WHERE c >= 0.92 QUALIFY row_number() OVER (PARTITION BY a.item, a.id ORDER BY c DESC, b.id) <= 10)
 SELECT DISTINCT item, least(x, y) AS id_a, greatest(x, y) AS id_b FROM near""",
+    "p3_found": rf"""
+WITH RECURSIVE texts AS (
+  SELECT row_number() OVER () AS id, path, regexp_split_to_array(body, '\r\n|\n|\r') AS ls FROM (SELECT DISTINCT path, body FROM kb_document WHERE length(body) > 700)),
+walk AS (
+  SELECT id, path, ls, 0 AS n, '' AS fence, 0 AS ordinal, 0 AS words FROM texts
+  UNION ALL
+  SELECT id, path, ls, n + 1,
+    CASE WHEN fence <> '' THEN CASE WHEN starts_with({_BARE}, fence) THEN '' ELSE fence END
+         WHEN starts_with({_BARE}, '```') THEN '```' WHEN starts_with({_BARE}, '~~~') THEN '~~~' ELSE '' END,
+    ordinal + CASE WHEN fence = '' AND regexp_matches({_LINE}, '^#{{1,6}}\s') THEN 1 ELSE 0 END,
+    CASE WHEN fence = '' AND regexp_matches({_LINE}, '^#{{1,6}}\s') THEN 0 ELSE {_COUNT(_LINE)} END
+  FROM walk WHERE n < len(ls))
+SELECT DISTINCT 'body' AS item, path, ordinal::INT AS ordinal FROM (SELECT id, path, ordinal, sum(words) AS words FROM walk GROUP BY ALL) WHERE words > 350
+UNION SELECT DISTINCT 'chunk', doc_path, ordinal::INT FROM chunk WHERE {_COUNT("text")} > 350""",
     "p8_measures": rf"""
 SELECT doc_id, len(w) AS words, round({_CHARS} / nullif(len(w), 0)::DOUBLE, 6) AS mean_word_length,
   round(length(regexp_replace(text, '[\p{{L}}\p{{N}} \t\n\x0b\f\r]', '', 'g')) / {_CHARS}::DOUBLE, 6) AS symbol_ratio,

@@ -1,6 +1,6 @@
 """Splitting oversized texts at natural boundaries.
 
-A text is parsed into a tree: sections, blocks (paragraphs, lists, code), their items or sentences, clauses, words. Sibling subtrees are merged into a piece while they
+A text is parsed into a tree: sections, blocks (paragraphs, lists, code), their items, nested as the lists are, sentences, clauses, words. Sibling subtrees are merged into a piece while they
 fit, and only a node that is itself oversized is descended into. Consecutive pieces share a fixed number of words.
 """
 
@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.functions.fences import fenced
+
 WORD = re.compile(r"\S+")
 HEADING = re.compile(r"(#{1,6})\s+(.*?)\s*#*\s*$")
 HEADING_MARK = re.compile(r"#{1,6}\s")
@@ -38,55 +40,53 @@ def sections(body: str, title: str = "") -> list[tuple[int, str, str]]:
     A heading is a line of one to six ``#`` and whitespace outside fenced code. A fence opens at a line whose first non-blank characters are three or more
     backticks or tildes and closes at the next line that begins so with three of that character, or at the end.
     """
-    out, stack, ordinal, lines, fence = [], [], 0, [], ""
-    crumb = title
-
-    for line in re.split(r"\r\n|\n|\r", body):
-        bare = line.lstrip()
-        if fence:
-            if bare.startswith(fence):
-                fence = ""
-        elif bare.startswith(("```", "~~~")):
-            fence = bare[:3]
-        elif line.startswith("#") and HEADING_MARK.match(line):
-            out.append((ordinal, crumb, "\n".join(lines)))
+    out, stack, ordinal, held = [], [], 0, []
+    crumb, lines = title, re.split(r"\r\n|\n|\r", body)
+    for line, code in zip(lines, fenced(lines)):
+        if not code and line.startswith("#") and HEADING_MARK.match(line):
+            out.append((ordinal, crumb, "\n".join(held)))
             mark = HEADING.match(line)
             name = mark.group(2) if mark else line.lstrip("#").strip()
             stack = stack[: line[:7].split(None, 1)[0].count("#") - 1] + [name]
             crumb = " > ".join([title, *(x for x in stack if x and x != title)] if title else [x for x in stack if x])
-            ordinal, lines = ordinal + 1, []
+            ordinal, held = ordinal + 1, []
             continue
-        lines.append(line)
-    out.append((ordinal, crumb, "\n".join(lines)))
+        held.append(line)
+    out.append((ordinal, crumb, "\n".join(held)))
     return out
 
 
-def boundaries(text: str, spans: list[tuple[int, int]]) -> list[int]:
-    """For every word, the level (index into ``LEVELS``) of the boundary before it."""
-    out, fence = [0], ""
-    levels = {}
-    at = 0
-    for line in text.split("\n"):  # what starts at a line
+def boundaries(text: str, spans: list[tuple[int, int]]) -> list[float]:
+    """For every word, the level (index into ``LEVELS``) of the boundary before it. Items of nested lists lie between the items and sentences, the deeper the lower.
+
+    Fenced code is one block, whose lines are its items, blank ones or not.
+    """
+    out, levels, inside = [0.0], {}, set()
+    at, indents = 0, []
+    lines = text.split("\n")
+    for line, code, before in zip(lines, fenced(lines), [False, *fenced(lines)]):  # what starts at a line
         bare = line.lstrip()
         if bare:
             first = at + len(line) - len(bare)
-            toggles = bare[:3] in ("```", "~~~")
-            if fence:
-                levels[first] = 1
-            elif toggles or bare[0] == "|":
-                levels[first] = 0 if toggles else 1
+            if code:
+                levels[first] = 1.0 if before else 0.0
+                if before:
+                    inside.add(first)
+            elif bare[0] == "|":
+                levels[first] = 1.0
             elif ITEM.match(line):
-                levels[first] = 1
-            if toggles and not fence:
-                fence = bare[:3]
-            elif fence and bare.startswith(fence):
-                fence = ""
+                indent = len(line) - len(bare)
+                indents = [x for x in indents if x < indent]
+                levels[first] = 1 + min(len(indents), 9) / 10
+                indents.append(indent)
+            elif not line[:1].isspace():
+                indents = []
         at += len(line) + 1
     for (_, end), (start, stop) in zip(spans, spans[1:]):
         space = text[end:start]
         last, first = text[end - 1], text[start]
         if start in levels:
-            out.append(0 if space.count("\n") > 1 else levels[start])
+            out.append(0 if space.count("\n") > 1 and start not in inside and levels[start] <= 1 else levels[start])
         elif space.count("\n") > 1:
             out.append(0)
         elif last in ".!?…" or (last in "\"')]»”" and end >= 2 and text[end - 2] in ".!?…"):
@@ -96,7 +96,7 @@ def boundaries(text: str, spans: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def cut_points(levels: list[int], params: SplitParams) -> list[int]:
+def cut_points(levels: list[float], params: SplitParams) -> list[int]:
     """Word positions at which new pieces begin (without their overlap); the first is 0.
 
     Nodes are runs of words between boundaries of a level. They are added to the open piece while they fit; one that does not fit opens the next piece if it fits
@@ -105,12 +105,14 @@ def cut_points(levels: list[int], params: SplitParams) -> list[int]:
     cuts = [0]
     room = params.max_words
 
-    def pack(start: int, end: int, level: int) -> None:
+    order = sorted({*levels, len(LEVELS) - 1})
+
+    def pack(start: int, end: int, depth: int) -> None:
         nonlocal room
         begin = start
         while begin < end:
             stop = begin + 1
-            while stop < end and levels[stop] > level:
+            while stop < end and levels[stop] > order[depth]:
                 stop += 1
             size = stop - begin
             if size > room and size <= params.max_words - params.overlap and begin > cuts[-1]:
@@ -118,8 +120,8 @@ def cut_points(levels: list[int], params: SplitParams) -> list[int]:
                 room = params.max_words - params.overlap
             if size <= room:
                 room -= size
-            elif level < len(LEVELS) - 1:
-                pack(begin, stop, level + 1)
+            elif depth < len(order) - 1:
+                pack(begin, stop, depth + 1)
             else:  # a single word and no room
                 cuts.append(begin)
                 room = params.max_words - params.overlap - size
@@ -140,7 +142,7 @@ def pieces(text: str, params: SplitParams = SplitParams()) -> list[tuple[int, in
     for k, begin in enumerate(cuts):
         end = cuts[k + 1] if k + 1 < len(cuts) else len(spans)
         first = max(0, begin - params.overlap) if k else 0
-        how = LEVELS[levels[end]] if end < len(spans) else "end"
+        how = LEVELS[int(levels[end])] if end < len(spans) else "end"
         out.append((k, first, end - first, how, text[spans[first][0] : spans[end - 1][1]]))
     return out
 

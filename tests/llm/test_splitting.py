@@ -55,3 +55,19 @@ def test_table(spark):
     assert sorted(((r.item, r.path, r.ordinal) for r in oversized(out).collect()), key=repr) == sorted([("body", "p", 0), ("body", "p", 2), ("body", None, 0), ("chunk", "p", 3), ("chunk", "r", None)], key=repr)
     assert len(rows) == 10 and {r.breadcrumb for r in rows if r.path == "p"} == {"T", "T > K", "B > C"}
     assert split_oversized(notes.limit(0), chunks.limit(0)).count() == 0
+
+
+def test_blank_lines_in_code_are_no_blocks():
+    import re
+
+    from inkwell.llm.splitting import boundaries
+
+    text = "intro words\n\n```\na b\n\nc d\n```\n\nafter it"
+    levels = boundaries(text, [m.span() for m in re.finditer(r"\S+", text)])
+    assert dict(zip(text.split(), levels)) == {"intro": 0, "words": 4, "```": 1, "a": 1, "b": 4, "c": 1, "d": 4, "after": 0, "it": 4}
+
+
+def test_nested_items_lie_below_their_list():
+    text = "\n".join(f"- part {k} " + "w " * 40 + "\n" + "\n".join(f"  - sub {k} {n} " + "v " * 20 for n in range(4)) for k in range(9))
+    cut = pieces(text, SplitParams(200, 20))
+    assert len(cut) > 4 and all(how in ("item", "end") for *_, how, _ in cut) and max(n for _, _, n, _, _ in cut) <= 200
