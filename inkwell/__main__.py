@@ -1,4 +1,4 @@
-"""python -m inkwell {schema,structural,embed,semantic,all,status,parse-check}"""
+"""python -m inkwell {schema,structural,embed,semantic,all,status,parse-check,ask}"""
 
 from __future__ import annotations
 
@@ -25,6 +25,9 @@ def main(args: list[str] | None = None) -> int:
     every = commands.add_parser("all")
     every.add_argument("--force", action="store_true")
     every.add_argument("--semantic", action="store_true")
+    ask = commands.add_parser("ask")
+    ask.add_argument("question", choices=("search", "tag", "tags", "document", "similar", "related", "path", "recent"))
+    ask.add_argument("about", nargs="*")
     given = parser.parse_args(args)
 
     engine = Engine(SparkSession.builder.appName("inkwell").getOrCreate(), Settings.from_env())
@@ -38,6 +41,8 @@ def main(args: list[str] | None = None) -> int:
         print(engine.sync_structural().render())
     elif given.command == "embed":
         print(engine.sync_embeddings(force=given.force).render())
+    elif given.command == "ask":
+        print(engine.ask(given.question, *given.about))
     elif given.command == "all":
         print("\n".join(r.render() for r in engine.sync_all(given.force, given.semantic)))
     else:

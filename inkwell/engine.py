@@ -197,6 +197,25 @@ class Engine:
         self._semantic_only()
         return graph.shortest_path(self.store.read("entity"), self.store.read("relates_to"), name_a, name_b)
 
+    def ask(self, question: str, *args: str) -> str:
+        """The answer to a question as text, one row a line; where there is nothing to say, a message that says so. Numbers may be given as text."""
+        about = " ".join(args[:1])
+        ways = {
+            "search": (self.search, ["path", "section", "score", "snippet"], "No passage is near to that."),
+            "tag": (self.documents_by_tag, ["path", "title", "updated"], f"No document has the tag {about}."),
+            "tags": (self.list_tags, ["tag", "documents"], "There are no tags."),
+            "document": (self.entities_in_document, ["title", "category", "tags", "links_out", "links_in", "entities"], f"There is no document {about}."),
+            "similar": (self.similar_documents, ["path", "title", "score"], f"There is no document {about}, or it has no vectors, or none is near to it."),
+            "related": (self.find_related_entities, ["entity", "type", "hops", "via", "documents"], f"Nothing is related to {about}."),
+            "path": (self.shortest_path, [], f"No path of up to {graph.MAX_PATH} relations leads from {about} to {' '.join(args[1:2])}."),
+            "recent": (self.recent_related_changes, ["path", "title", "updated"], f"No document that mentions {about} has changed since."),
+        }
+        if question not in ways:
+            raise ValueError(f"no such question: {question}; there are {', '.join(ways)}")
+        answer, columns, empty = ways[question]
+        rows = answer(*(int(a) if a.isdigit() else a for a in args)).collect()  # answers have a limit
+        return "\n".join(map(graph.render_path, rows)) or empty if question == "path" else graph.formatted(rows, columns, empty)
+
     def recent_related_changes(self, name: str, since: str = "") -> DataFrame:
         self._semantic_only()
         t = self.store.read

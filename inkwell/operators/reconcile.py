@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from inkwell import schemas
 from inkwell.functions import text as T
+from inkwell.session import salted_join
 
 UNRESOLVED = "unresolved:"
 
@@ -40,7 +41,7 @@ def resolve_links(notes: DataFrame) -> DataFrame:
         .join(by_stem, "stem", "left")
         .select("raw", F.coalesce("by_path", "by_md", "by_stem").alias("dst"))
     )
-    found = raw.join(known, "raw")
+    found = salted_join(raw, known, ["raw"])  # very many notes may name one target
     linked = found.where(F.col("dst").isNotNull() & (F.col("dst") != F.col("src"))).groupBy("src", "dst").agg(F.min("raw").alias("raw"))
     return linked.select("src", "raw", "dst").unionByName(found.where(F.col("dst").isNull()).select("src", "raw", "dst"))
 

@@ -246,3 +246,21 @@ def test_corpus_by_scheme(spark, tmp_path):
     assert set(got) == set(plain) == {"a.md", "deep/b.md"}
     assert all(got[p].text == plain[p].text and got[p].mtime[:19] == plain[p].mtime[:19] for p in got)
     assert parse_notes(read_corpus(spark, f"file://{tmp_path}")).count() == 2
+
+
+def test_questions_have_answers_or_say_so(spark, tmp_path, monkeypatch, capsys):
+    corpus = tmp_path / "notes"
+    (corpus / "sub").mkdir(parents=True)
+    (corpus / "a.md").write_text("---\ntags: [lamp]\n---\n# Alpha\nRed Fox saw Blue Owl near [[sub/b]].")
+    (corpus / "sub" / "b.md").write_text("# Beta\nBlue Owl met Grey Elk.")
+    engine = Engine(spark, Settings(corpus=str(corpus), store=f"file://{tmp_path}/store", semantic_queries=True))
+    engine.sync_all(semantic=True)
+    assert "a.md" in engine.ask("tag", "#Lamp") and engine.ask("tag", "none") == "No document has the tag none."
+    assert "lamp" in engine.ask("tags") and "sub/b.md" in engine.ask("document", "a.md") and "no document" in engine.ask("document", "zzz")
+    assert engine.ask("path", "Red Fox", "Grey Elk") == "Red Fox -[related_to]- Blue Owl -[related_to]- Grey Elk (2 hops)"
+    assert "leads from Red Fox to Nobody" in engine.ask("path", "Red Fox", "Nobody") and "Blue Owl" in engine.ask("related", "red fox", "1")
+    assert "a.md" in engine.ask("search", "Red Fox saw") and "sub/b.md" in engine.ask("similar", "a.md") and "Beta" in engine.ask("recent", "Blue Owl")
+    with pytest.raises(ValueError):
+        engine.ask("weather")
+    monkeypatch.setenv("INKWELL_STORE", f"file://{tmp_path}/store")
+    assert main(["ask", "tags"]) == 0 and "lamp" in capsys.readouterr().out
