@@ -10,8 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows whose keys are sampled for the borders of the ranges.
-SAMPLE = 20_000
+#: Rows, about, whose keys are sampled for the borders of the ranges.
+SAMPLE = 10_000
 
 
 def snapshot_diff(
@@ -42,11 +42,11 @@ def snapshot_diff(
         F.col(version).alias("__v"), *(F.col(k).alias(a) for k, a in zip(key, keys)), F.col(delivered).alias("__at"), *(compare[n].alias(f"__c{i}") for i, n in enumerate(names))
     ).dropna(subset=["__v", *keys])
     tasks = ranges or int(snapshots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first = F.col("__k0").cast("string")
-    sampled = flat.select(first.alias("k")).orderBy(F.xxhash64("k", F.monotonically_increasing_id())).limit(SAMPLE)
+    counted = flat.groupBy("__v").agg(F.count("*").alias("n")).collect()  # one row a snapshot
+    versions, total = sorted(r["__v"] for r in counted), sum(r.n for r in counted)
+    sampled = flat.select(F.col("__k0").cast("string").alias("k")).sample(min(1.0, SAMPLE / max(1, total)), seed=7)
     seen = sorted({r.k for r in sampled.collect()})
     borders = np.array(sorted({seen[len(seen) * n // (4 * tasks)] for n in range(1, 4 * tasks)}) if seen else [], object)
-    versions = sorted(r["__v"] for r in flat.select("__v").distinct().collect())  # one value a snapshot
     schema = flat.withColumn("__range", F.lit(0)).schema
 
     def shrink(batches):
