@@ -373,7 +373,43 @@ def extraction_windows(spark: SparkSession, d: str) -> DataFrame:
     return prompts.select("path", "window", T.word_count(F.substring_index("prompt", "\nTitle: \n\n", -1)).cast("bigint").alias("words"))
 
 
-@query()
+_LINE = "ls[n + 1]"
+_SHOWN = rf"array_to_string(list_transform(range(1, len(regexp_split_to_array({_LINE}, '`[^`]*`')) + 1), lambda i: regexp_split_to_array({_LINE}, '`[^`]*`')[i] || repeat(' ', coalesce(length(regexp_extract_all({_LINE}, '`[^`]*`')[i]), 0))), '')"
+_MARK = rf"regexp_extract({_LINE}, '^\s*(`{{3}}|~{{3}})', 1)"
+_IS_HEAD = rf"fence = '' AND {_MARK} = '' AND regexp_matches({_SHOWN}, '^#{{1,6}}\s+(.*?)\s*#*\s*$')"
+_NAME, _DEPTH = rf"regexp_extract({_SHOWN}, '^#{{1,6}}\s+(.*?)\s*#*\s*$', 1)", rf"length(regexp_extract({_SHOWN}, '^(#{{1,6}})\s', 1))"
+_OPENS = "len(open) > 0 AND len(open) + len(words) > 350"
+
+
+@query(rf"""
+WITH RECURSIVE notes AS (SELECT DISTINCT path, coalesce(title, '') AS title, body FROM kb_document WHERE NOT coalesce(stub, FALSE) AND body <> ''),
+numbered AS (SELECT row_number() OVER () AS id, path, title, body, string_split(body, chr(10)) AS ls FROM notes),
+walk AS (
+  SELECT id, title, ls, 0 AS n, '' AS fence, 0 AS section, []::VARCHAR[] AS trail, []::VARCHAR[] AS ws FROM numbered
+  UNION ALL
+  SELECT id, title, ls, n + 1, CASE WHEN fence <> '' THEN CASE WHEN {_MARK} = fence THEN '' ELSE fence END ELSE {_MARK} END,
+    section + CASE WHEN {_IS_HEAD} THEN 1 ELSE 0 END,
+    CASE WHEN {_IS_HEAD} THEN list_append(list_slice(trail, 1, {_DEPTH} - 1), {_NAME}) ELSE trail END,
+    CASE WHEN {_IS_HEAD} THEN [] ELSE list_filter(regexp_split_to_array({_LINE}, '{SPACE}+'), lambda w: w <> '') END
+  FROM walk WHERE n < len(ls)),
+sections AS (
+  SELECT id, row_number() OVER (PARTITION BY id ORDER BY section) AS s, words, array_to_string(list_filter(list_prepend(title, list_filter(trail, lambda t: t <> title)), lambda x: x <> ''), ' > ') AS crumb
+  FROM (SELECT id, any_value(title) AS title, section, flatten(list(ws ORDER BY n)) AS words, arg_max(trail, n) AS trail FROM walk GROUP BY id, section) WHERE len(words) > 0),
+pack AS (
+  SELECT id, 0::BIGINT AS s, []::VARCHAR[] AS open, '' AS label, []::STRUCT(t VARCHAR, c VARCHAR)[] AS made FROM numbered
+  UNION ALL
+  SELECT p.id, x.s, CASE WHEN len(words) > 350 THEN [] WHEN {_OPENS} THEN words ELSE list_concat(open, words) END,
+    CASE WHEN len(words) <= 350 AND (len(open) = 0 OR {_OPENS}) THEN crumb ELSE label END,
+    list_concat(CASE WHEN {_OPENS} THEN list_append(made, {{'t': array_to_string(open, ' '), 'c': label}}) ELSE made END,
+      CASE WHEN len(words) > 350 THEN list_transform(range(0, ceil((len(words) - 350) / 290.0)::BIGINT + 1), lambda i: {{'t': array_to_string(list_slice(words, i * 290 + 1, i * 290 + 350), ' '), 'c': crumb}}) ELSE [] END)
+  FROM pack p JOIN sections x ON x.id = p.id AND x.s = p.s + 1),
+done AS (
+  SELECT path, title, body, CASE WHEN len(open) > 0 THEN list_append(made, {{'t': array_to_string(open, ' '), 'c': label}}) ELSE made END AS made
+  FROM (SELECT * FROM pack QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC) = 1) JOIN numbered USING (id)),
+filled AS (SELECT path, CASE WHEN len(made) = 0 AND {trim("body")} <> '' THEN [{{'t': {trim("body")}, 'c': title}}] ELSE made END AS made FROM done)
+SELECT path || '#' || (i - 1) AS id, path AS doc_path, (i - 1)::INT AS ordinal, m.t AS text, m.c AS breadcrumb,
+  len(list_filter(regexp_split_to_array(m.t, '{SPACE}+'), lambda w: w <> ''))::INT AS word_count
+FROM (SELECT path, unnest(made) AS m, generate_subscripts(made, 1) AS i FROM filled)""")
 def chunk_packing(spark: SparkSession, d: str) -> DataFrame:
     notes = table(spark, d, "kb_document").where(reconcile.not_stub()).select("path", "title", "body").distinct()
     return chunking.chunk_documents(notes)
