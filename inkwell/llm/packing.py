@@ -194,3 +194,19 @@ def limit_report(packed: DataFrame, slots: DataFrame, params: PackParams = PackP
     return per.groupBy("slot_id").agg(
         F.count("*").alias("containers"), n(F.col("tokens") >= params.well_filled * F.col("capacity"), "by_tokens"), n(F.col("segments") >= segments, "by_segments"), n(F.col("loss") >= params.well_filled * loss, "by_loss")
     )
+
+
+def invariants(packed: DataFrame, slots: DataFrame, params: PackParams = PackParams()) -> DataFrame:
+    """Per container size what must hold of any packing: ``documents`` placed, and how often a rule is broken, which should be never.
+
+    ``overfull`` containers have more tokens than their capacity, ``crowded`` ones more segments than allowed, ``torn`` documents were split though they fit, and ``gappy``
+    ones have parts that do not follow each other without a gap.
+    """
+    capacity = slots.select("slot_id", F.col("capacity_tokens").alias("capacity")).distinct()
+    size = lambda df: df.join(F.broadcast(capacity), "slot_id")
+    boxes = size(packed.groupBy("slot_id", "container").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")))
+    texts = size(packed.groupBy("slot_id", "doc_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"), F.max(F.col("first_token") + F.col("tokens")).alias("end")))
+    n = lambda c, name: F.count_if(c).alias(name)
+    per_box = boxes.groupBy("slot_id").agg(n(F.col("tokens") > F.col("capacity"), "overfull"), n(F.col("n") > F.greatest(F.lit(1), F.floor(F.col("capacity") / params.tokens_per_segment)), "crowded"))
+    per_text = texts.groupBy("slot_id").agg(F.count("*").alias("documents"), n((F.col("n") > 1) & (F.col("tokens") <= F.col("capacity")), "torn"), n(F.col("end") != F.col("tokens"), "gappy"))
+    return per_text.join(per_box, "slot_id").select("slot_id", "documents", "overfull", "crowded", "torn", "gappy")

