@@ -122,6 +122,7 @@ def find_related_entities(entity: DataFrame, relates_to: DataFrame, mentions: Da
     for _ in range(clamped(max_hops, 1, 4)):
         step = salted_join(trail, both.withColumnRenamed("from", "at"), ["at"]).where(~F.array_contains("edges", F.col("edge")))
         trail = step.select(F.col("to").alias("at"), F.array_sort(F.concat("edges", F.array("edge"))).alias("edges"), F.concat("via", F.array("type")).alias("via")).distinct()
+        trail = materialize(trail, "trails")  # the next hop reads it several times
         ends = trail.select("at", "via").distinct()
         reached = ends if reached is None else reached.unionByName(ends)
     found = reached.join(entity.select(F.col("key").alias("at"), "name", "type"), "at")
