@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from inkwell import schemas
 from inkwell.functions import text as T
 from inkwell.functions import vectors as V
+from inkwell.session import materialize
 
 
 def parsed_replies(raw: DataFrame) -> DataFrame:
@@ -101,57 +104,90 @@ def similar_entity(probes: DataFrame, entities: DataFrame, threshold: float = 0.
     return near.withColumn("n", F.row_number().over(order)).where("n = 1").select("probe", "key", "name", "score")
 
 
-def greedy_dedup(mentioned: DataFrame, stored: DataFrame, threshold: float = 0.92, nearest: int = 5, dims: int = 64, mode: str = "normalized") -> DataFrame:
+#: distinct vectors of a block; a task compares two blocks
+BLOCK = 20_000
+
+
+def near_vectors(vectors: DataFrame, cosine: float, block: int = BLOCK) -> DataFrame:
+    """For each probe of ``vectors`` (``vid``, ``embedding``, ``probe``) all vectors that reach the cosine, itself included: ``vid``, ``near`` (``w``, ``c``).
+
+    Exact: every two blocks are multiplied in one task, in single precision with a margin, and what is found is computed again in double precision.
+    """
+    blocks = max(1, -(-vectors.count() // block))
+    mine = F.pmod(F.xxhash64("vid"), F.lit(blocks)).cast("int")
+    placed = vectors.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    tiles = placed.select(F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "vid", "embedding", "probe")
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(frame["embedding"].to_numpy()).astype(float)
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        vid, probe, own = frame["vid"].to_numpy(), frame["probe"].to_numpy(bool), (frame["mine"] == frame["lo"]).to_numpy()
+        rows = np.flatnonzero(own)
+        cols = rows if frame["lo"].iat[0] == frame["hi"].iat[0] else np.flatnonzero(~own)
+        single, found = x.astype(np.float32), []
+        right = single[cols].T
+        for s in range(0, len(rows) if len(cols) else 0, 500):
+            i, j = np.nonzero(single[rows[s : s + 500]] @ right >= cosine - 1e-4)
+            i, j = rows[s + i], cols[j]
+            if cols is rows:
+                i, j = i[i <= j], j[i <= j]  # each pair once, so that it has one cosine
+            c = np.einsum("ij,ij->i", x[i], x[j])
+            for a, b, apart in ((i, j, probe[i]), (j, i, probe[j] & (i != j))):
+                ok = apart & (c >= cosine - 1e-9)
+                found.append(pd.DataFrame({"vid": vid[a[ok]], "w": vid[b[ok]], "c": c[ok]}))
+        return pd.concat(found) if found else pd.DataFrame({"vid": [], "w": [], "c": []})
+
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as given, else a few tasks compare all tiles
+    pairs = tiles.repartition(tasks, "lo", "hi").groupBy("lo", "hi").applyInPandas(compare, "vid string, w string, c double")
+    return pairs.groupBy("vid").agg(F.collect_list(F.struct("w", "c")).alias("near"))
+
+
+def greedy_dedup(mentioned: DataFrame, stored: DataFrame, threshold: float = 0.92, nearest: int = 5, dims: int = 64, mode: str = "normalized", block: int = BLOCK) -> DataFrame:
     """Resolves entities of documents in order, each against what is stored before its document: ``seq``, ``path``, ``key``, ``resolved``, ``score``.
 
-    ``mentioned`` has ``seq`` (of the document), ``path``, ``key``, ``type``, ``embedding``; ``stored`` the entities there are. Order decides the result, so
-    this is one sequential fold over the pending documents of a run, which is what it is meant for; the state it holds is the table of entity
-    vectors. An incremental run over millions of documents should be cut into slices.
+    ``mentioned`` has ``seq`` (of the document), ``path``, ``key``, ``type``, ``embedding``; ``stored`` the entities there are. What an entity holds is
+    always one of the given vectors, and only those that reach the threshold can decide, so all tasks find the near vectors of each distinct one first. Order
+    decides the result, so the rest is one sequential fold; it streams over the mentions and holds keys, types and ids of vectors, no vectors.
 
     Defined cases: a vector that is null, short, long or zero has no neighbour and keeps its own key; ties go to the smaller key; keys of one document never merge with each other.
     """
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        known = frame[frame["seq"] < 0].drop_duplicates("key")
-        size = len(frame) + 1
-        matrix, types, keys, row_of, n = np.zeros((size, dims)), [None] * size, [None] * size, {}, 0
-
-        def put(key, kind, vector):
-            nonlocal n
-            k = row_of.get(key)
-            if k is None:
-                k = row_of[key] = n
-                keys[k], types[k], n = key, kind, n + 1
-            if vector is not None:
-                matrix[k] = vector
-
-        def unit(v):
-            if v is None or len(v) != dims or any(x is None for x in v):
-                return None
-            a = np.asarray(v, float)
-            size_ = np.linalg.norm(a)
-            return a / size_ if size_ > 0 and np.isfinite(size_) else None
-
-        for key, kind, v in zip(known["key"], known["type"], known["embedding"]):
-            put(key, kind, unit(v))
-        out = []
-        for seq, doc in frame[frame["seq"] >= 0].sort_values(["seq", "key"], kind="stable").groupby("seq", sort=True):
-            writes = []
-            for path, key, kind, v in zip(doc["path"], doc["key"], doc["type"], doc["embedding"]):
-                u, to, best = unit(v), key, None
-                if u is not None and n:
-                    cosine = matrix[:n] @ u
-                    score = cosine if mode == "raw" else (1 + cosine) / 2
-                    top = sorted(np.argpartition(-score, min(nearest, n) - 1)[:nearest].tolist(), key=lambda k: (-score[k], keys[k]))
-                    fit = [k for k in top if score[k] >= threshold and types[k] == kind]
-                    if fit:
-                        best, to = float(score[fit[0]]), keys[fit[0]]
+    if mode not in ("raw", "normalized"):
+        raise ValueError(mode)
+    usable = V.usable(F.col("embedding"), dims) & (V.norm(F.col("embedding")) < float("inf"))
+    vid = F.when(usable, F.concat_ws("-", F.xxhash64("embedding"), F.xxhash64(F.lit(1), "embedding")))
+    old = stored.select(F.lit(-1).cast("bigint").alias("seq"), F.lit(None).cast("string").alias("path"), "key", "type", F.col("embedding").cast("array<double>").alias("embedding")).dropDuplicates(["key"])
+    given = old.unionByName(mentioned.select(F.col("seq").cast("bigint"), "path", "key", "type", F.col("embedding").cast("array<double>").alias("embedding")))
+    rows = materialize(given.withColumn("vid", vid), "mentioned")
+    vectors = materialize(rows.where("vid is not null").groupBy("vid").agg(F.first("embedding").alias("embedding"), F.max(F.col("seq") >= 0).alias("probe")), "vectors")
+    near = near_vectors(vectors, threshold if mode == "raw" else 2 * threshold - 1, block)
+    fed = rows.drop("embedding").join(near, "vid", "left").withColumn("near", F.when(F.col("seq") >= 0, F.col("near")))
+
+    def fold(batches):
+        types, holds, holders, writes, now = {}, {}, {}, [], None
+
+        def put(key, kind, v):
+            types.setdefault(key, kind)
+            if v is not None and holds.get(key) != v:
+                if key in holds:
+                    holders[holds[key]].discard(key)
+                holds[key] = v
+                holders.setdefault(v, set()).add(key)
+
+        for batch in batches:
+            out = []
+            for seq, path, key, kind, v, close in zip(batch["seq"].tolist(), *(batch[c] for c in ("path", "key", "type", "vid", "near"))):
+                if seq < 0:
+                    put(key, kind, v)
+                    continue
+                if seq != now:
+                    for write in writes:
+                        put(*write)
+                    writes, now = [], seq
+                met = ((-(x["c"] if mode == "raw" else (1 + x["c"]) / 2), k) for x in (() if close is None else close) for k in holders.get(x["w"], ()))
+                top = heapq.nsmallest(nearest, (m for m in met if -m[0] >= threshold))
+                best, to = next(((-s, k) for s, k in top if types[k] == kind), (None, key))
                 out.append((seq, path, key, to, best))
-                writes.append((to, kind, u))
-            for write in writes:
-                put(*write)
-        return pd.DataFrame(out, columns=["seq", "path", "key", "resolved", "score"])
-
-    old = stored.select(F.lit(-1).cast("bigint").alias("seq"), F.lit(None).cast("string").alias("path"), "key", "type", "embedding")
-    rows = old.unionByName(mentioned.select(F.col("seq").cast("bigint"), "path", "key", "type", "embedding"))
-    return rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(fold, "seq bigint, path string, key string, resolved string, score double")
+                writes.append((to, kind, v))
+            yield pd.DataFrame(out, columns=["seq", "path", "key", "resolved", "score"]).astype({"score": float})
+
+    return fed.repartition(1).sortWithinPartitions("seq", "key").mapInPandas(fold, "seq bigint, path string, key string, resolved string, score double")

@@ -1,4 +1,6 @@
 import json
+import math
+import random
 
 from inkwell import schemas
 from inkwell.operators import entities as E
@@ -46,6 +48,38 @@ def test_greedy_dedup_follows_order(spark):
     assert E.greedy_dedup(mentioned.limit(0), stored, dims=2).count() == 0
 
 
+def test_greedy_dedup_keeps_ties_and_streams(spark):
+    """Of equally near entities the five with the smallest keys count, whatever order they are stored in; the fold holds no table of vectors."""
+    stored = spark.createDataFrame([(f"k{i}", "person" if i else "tool", [1.0, 0.0]) for i in reversed(range(10))], "key string, type string, embedding array<float>")
+    mentioned = spark.createDataFrame([(1, "p", "new", "tool", [1.0, 0.0])], "seq int, path string, key string, type string, embedding array<float>")
+    got = E.greedy_dedup(mentioned, stored, dims=2)
+    assert [r.resolved for r in got.collect()] == ["k0"]
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().executedPlan().toString().split("Exchange")[0]
+
+
+def test_greedy_dedup_matches_a_plain_fold(spark):
+    rnd = random.Random(3)
+    vector = lambda: [round(rnd.gauss(0, 1), 3) for _ in range(3)] if rnd.random() < 0.9 else rnd.choice([None, [0.0, 0.0, 0.0], [1.0]])
+    stored = [(f"s{i:02d}", rnd.choice("ab"), vector()) for i in range(30)]
+    rows = [(d, f"p{d}", k, rnd.choice("ab"), vector()) for d in range(40) for k in sorted(rnd.sample([f"s{i:02d}" for i in range(5)] + [f"n{i:02d}" for i in range(60)], 4))]
+    state, want = {k: [t, v] for k, t, v in stored}, {}
+    good = lambda v: v is not None and len(v) == 3 and any(v)
+    score = lambda v, w: (1 + sum(x * y for x, y in zip(v, w)) / math.hypot(*v) / math.hypot(*w)) / 2
+    for d in range(40):
+        writes = []
+        for _, _, k, t, v in (r for r in rows if r[0] == d):
+            top = sorted((-score(v, w), o) for o, (_, w) in state.items() if good(v) and good(w))[:5]
+            want[d, k] = next((o for s, o in top if -s >= 0.92 and state[o][0] == t), k)
+            writes.append((want[d, k], t, v))
+        for k, t, v in writes:
+            old = state.setdefault(k, [t, None])
+            old[1] = v if good(v) else old[1]
+    frames = spark.createDataFrame(rows, "seq int, path string, key string, type string, embedding array<double>"), spark.createDataFrame(stored, "key string, type string, embedding array<double>")
+    for block in (20_000, 7):
+        assert {(r.seq, r.key): r.resolved for r in E.greedy_dedup(*frames, dims=3, block=block).collect()} == want
+    assert any(k != o for (_, k), o in want.items())
+
+
 def test_top_five_are_cut_before_the_type(spark):
     near = [(f"p{i}", f"p{i}", "person", [], [1.0, 0.01 * i]) for i in range(5)]
     stored = spark.createDataFrame([*near, ("t", "t", "tool", [], [1.0, 0.2])], schemas.ENTITY)
