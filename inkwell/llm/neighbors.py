@@ -152,6 +152,17 @@ def _unit(column: pd.Series, dims: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.float32).reshape(-1, dims)
 
 
+def _sampled(groups: DataFrame, n: int, most: int) -> DataFrame:
+    """The ``most`` vectors of ``n`` with the least hashes, in their order.
+
+    Each task of a limit sends up to ``most`` rows, so all of them together the table; a bound on the hash, which ``most`` vectors fall short
+    of once in 10^9 draws, is applied first, so that about as many rows as are wanted reach the driver, however large the table is.
+    """
+    share = (most + 6 * math.sqrt(most)) / max(1, n)
+    low = groups if share >= 1 else groups.where(F.col("h1") < -(2**63) + int(share * 2**64))
+    return low.orderBy("h1", "u").limit(most).select("u")
+
+
 def _nearest(frame: pd.DataFrame, k: int) -> pd.DataFrame:
     frame = frame.sort_values(["gid", "d", "other"], kind="stable")
     return frame[frame.groupby("gid").cumcount() < k]
@@ -198,7 +209,7 @@ def similar_vectors(table: DataFrame, id_col: str, vector_col: str, k: int = 10,
     groups = materialize(ordered.withColumn("gid", F.monotonically_increasing_id()), "vectors")
     n = groups.count()
     depth = max(0, math.ceil(math.log2(max(1, n) / params.leaf_rows)))
-    sampled = groups.select("u").orderBy(F.xxhash64("u"), "u").limit(params.sample).toPandas()
+    sampled = _sampled(groups, n, params.sample).toPandas()
     tree = Tree(_unit(sampled["u"], dims) if len(sampled) else np.zeros((0, dims), np.float32), depth, params)
     shared = spark.sparkContext.broadcast(tree)
     widest = np.float64(4.0 if min_cosine is None else 2 - 2 * min_cosine)
@@ -254,7 +265,8 @@ def similar_vectors(table: DataFrame, id_col: str, vector_col: str, k: int = 10,
 def _expand(edges: DataFrame, groups: DataFrame, units: DataFrame, k: int) -> DataFrame:
     """From points of the index back to rows: every copy gets the copies and the members of near points, the nearest ``k``."""
     best = Window.partitionBy("gid").orderBy("d", "other")
-    near = edges.dropDuplicates(["gid", "other"]).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
+    # Lineage is cut where little is left, since the driver plans each part anew after every stage: in one piece the two salted joins have the search in them many times.
+    near = materialize(edges.dropDuplicates(["gid", "other"]).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r"), "near")
     members = groups.select(F.col("gid").alias("other"), "low")
     reached = near.join(members, "other").select("gid", F.col("d"), F.explode("low").alias("to"))
     copies = groups.where(F.size("low") > 1).select("gid", F.lit(0.0).alias("d"), F.explode("low").alias("to"))
@@ -262,7 +274,7 @@ def _expand(edges: DataFrame, groups: DataFrame, units: DataFrame, k: int) -> Da
     offered = reached.unionByName(copies).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r")
     several = groups.where(F.size("low") > 1).select("gid", "h1", "h2")
     single = groups.where(F.size("low") == 1).select("gid", F.col("low")[0].alias("id"))
-    listed = single.unionByName(salted_join(units.select("id", "h1", "h2"), several, ["h1", "h2"]).select("gid", "id"))
+    listed = materialize(single.unionByName(salted_join(units.select("id", "h1", "h2"), several, ["h1", "h2"]).select("gid", "id")), "members")
     each = salted_join(listed, offered, ["gid"]).where(F.col("id") != F.col("to"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("d", "to"))
     return each.withColumn("rank", rank).where(F.col("rank") <= k).select("id", F.col("to").alias("other"), (1 - F.col("d") / 2).alias("cosine"), "rank")

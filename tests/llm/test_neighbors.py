@@ -2,8 +2,9 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from inkwell.llm.neighbors import NeighborParams, Tree, chi2_cdf, chi2_quantile, similar_pairs, similar_vectors
+from inkwell.llm.neighbors import NeighborParams, Tree, _sampled, chi2_cdf, chi2_quantile, similar_pairs, similar_vectors
 
 SMALL = NeighborParams(leaf_rows=64, sample=500)
 
@@ -92,3 +93,42 @@ def test_ties_go_by_id(spark):
     rows = [(k, v) for k, v in (("q", [1.0, 0.0, 0.0]), ("b", [1.0, 1.0, 0.0]), ("a", [1.0, -1.0, 0.0]), ("d", [1.0, 0.0, 1.0]), ("c", [1.0, 0.0, -1.0]))]
     got = similar_vectors(spark.createDataFrame(rows, "id string, embedding array<float>"), "id", "embedding", 2, 0.6, 3, SMALL).where("id = 'q'").orderBy("rank").collect()
     assert [r.other for r in got] == ["a", "b"]
+
+
+def test_driver_gets_the_sample_only(spark):
+    """What tasks send to the driver does not grow with their number."""
+    x = np.random.default_rng(4).standard_normal((4000, 64)).astype(np.float32)
+    rows = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def sent():
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {stages.apply(i).stageId(): stages.apply(i).resultSize() for i in range(stages.size())}
+
+    earlier = sent()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        similar_vectors(rows, "id", "embedding", 3, 0.9, 64, NeighborParams(leaf_rows=512, sample=500))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    most = max(v for k, v in sent().items() if k not in earlier)
+    assert 500 * 256 < most < 2 * 500 * 300  # four tasks with 500 vectors each would send over 500,000
+
+
+def test_sample_is_the_least_hashes(spark):
+    """The bound on the hash changes nothing in the sample."""
+    x = np.random.default_rng(5).standard_normal((3000, 4)).astype(np.float32)
+    rows = spark.createDataFrame([(v.tobytes(),) for v in x], "u binary").withColumn("h1", F.xxhash64("u")).cache()
+    want = [bytes(r.u) for r in sorted(rows.collect(), key=lambda r: r.h1)]
+    for most in (1, 100, 2900, 5000):
+        assert [bytes(r.u) for r in _sampled(rows, 3000, most).collect()] == want[:most]
+    assert _sampled(rows.limit(0), 0, 10).count() == 0
+
+
+def test_plan_for_the_driver_is_short(spark):
+    """The joins back to rows do not have the search in them again and again: the driver plans what is left anew after every stage."""
+    x = np.random.default_rng(6).standard_normal((50, 4)).tolist()
+    near = similar_vectors(frame(spark, list(enumerate(x))), "id", "embedding", 3, 0.9, 4, SMALL)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 20 and "Pandas" not in plan
